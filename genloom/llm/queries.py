@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["exact_dedup"]
+MODULES = ["ngram_join", "exact_dedup"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

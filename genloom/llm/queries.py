@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ngram_join", "exact_dedup"]
+MODULES = ["ngram_join", "exact_dedup", "quality", "bpe"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

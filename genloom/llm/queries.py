@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ngram_join", "exact_dedup", "quality", "bpe"]
+MODULES = ["ngram_join", "pii", "exact_dedup", "quality", "secrets_scan", "bpe"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

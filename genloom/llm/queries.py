@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ngram_join", "pii", "exact_dedup", "quality", "langid", "secrets_scan", "bpe"]
+MODULES = ["ngram_join", "pii", "mixing", "exact_dedup", "quality", "langid", "chat", "secrets_scan", "line_dedup", "bpe"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -150,7 +150,7 @@ class ForcedBoundaryBpe:
         return sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self._parts(text) for i in p[1].split(",")]
+        return list(map(int, ",".join([p[1] for p in self._parts(text)]).split(","))) if text else []
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace")
@@ -167,16 +167,23 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded): the token ids of every text and the text that decoding them gives."""
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
+    """(doc_id, n_tokens, ids, round_trip): the token ids of every text and whether decoding them gives the text again.
+
+    Nulls, repeated rows and empty tables as in digests(); rows is how many results go to the JVM at once.
+    """
 
     def part(batches):
         m = _model(path)
         for b in batches:
-            ids = [m.encode(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([m.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(part, "doc_id long, ids array<int>, decoded string")
+            for at in range(0, b.num_rows, rows):
+                some = b.slice(at, rows)
+                texts = [t.as_py() or "" for t in some.column(1)]
+                ids = [m.encode(t) for t in texts]
+                same = [m.decode(i) == t for i, t in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(part, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,8 +34,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of docs that stay, with docs' columns; rows repeated in full stay once each as they came."""
-    return exact_dedup(docs, id_col, text_col, keep).filter("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    """One row of docs for each distinct text, with docs' columns; a row repeated in full stays once."""
+    out = exact_dedup(docs, id_col, text_col, keep).filter("kept")
+    alone, several = out.filter("group_size = 1"), out.filter("group_size > 1").dropDuplicates(["doc_id", "text_sha256"])
+    return alone.unionByName(several).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_exact_dedup(spark, sf_dir):

@@ -30,5 +30,5 @@ def discovery_threshold(stats: DataFrame, keys: list[str], q: float = 0.1, offse
 def discoveries(stats: DataFrame, keys: list[str], q: float = 0.1, offset: int = 1) -> DataFrame:
     """The groups with W at or above the threshold of their key; empty where no threshold qualifies."""
     cut = discovery_threshold(stats, keys, q, offset)
-    joined = stats.join(F.broadcast(cut), keys) if keys else stats.crossJoin(F.broadcast(cut))
+    joined = stats.join(cut, keys) if keys else stats.crossJoin(F.broadcast(cut))  # without keys cut is one row
     return joined.filter(F.col("w") >= F.col("threshold"))

@@ -40,3 +40,325 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     roots = cur.select(F.col("b").alias("vertex")).distinct().withColumn("component", F.col("vertex"))
     lone = loops.withColumn("component", F.col("vertex"))
     return stars.unionByName(roots).unionByName(lone).groupBy("vertex").agg(F.min("component").alias("component"))
+
+
+def ordered_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """Edges listed under their smaller end only: an edge whose first end is larger is ignored."""
+    return edges.filter(F.col(src) <= F.col(dst))
+
+
+def components_of(vertices: DataFrame, edges: DataFrame, vertex: str = "vertex") -> DataFrame:
+    """(vertex, component) of all vertices, isolated ones included, under the rule of ordered_edges."""
+    found = connected_components(ordered_edges(edges))
+    out = vertices.select(F.col(vertex).cast("long").alias("vertex")).distinct().join(found, "vertex", "left")
+    return out.select("vertex", F.coalesce("component", "vertex").alias("component"))
+
+
+def co_membership(components: DataFrame) -> DataFrame:
+    """(component, size, members): sorted members once for each component; join it by component to list them per vertex.
+
+    A component's members make one array, so this suits components whose size is bounded.
+    """
+    return components.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("vertex")).alias("members"))
+
+
+def transpose(edges: DataFrame) -> DataFrame:
+    return edges.withColumnsRenamed({"src": "__s", "dst": "src"}).withColumnRenamed("__s", "dst").select(*edges.columns)
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(vertex, out_degree, in_degree)."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("vertex"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("vertex"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
+    return ends.groupBy(F.col("e.vertex").alias("vertex")).agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"))
+
+
+def transitive_closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(src, dst) of all paths of one edge or more; paths double in length each round."""
+    reach = materialize(edges.select("src", "dst").distinct(), "closure")
+    n = reach.count()
+    for _ in range(max_rounds):
+        step = reach.select(F.col("src").alias("a"), F.col("dst").alias("m")).join(reach.select(F.col("src").alias("m"), F.col("dst").alias("b")), "m")
+        reach = materialize(reach.union(step.select("a", "b")).distinct(), "closure")
+        if (more := reach.count()) == n:
+            break
+        n = more
+    return reach
+
+
+def breadth_first(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(vertex, level): least number of edges from a root."""
+    seen = front = materialize(roots.select("vertex").distinct().withColumn("level", F.lit(0)), "bfs")
+    for level in range(1, max_rounds):
+        nxt = edges.join(front, edges.src == front.vertex).select(F.col("dst").alias("vertex")).distinct().join(seen, "vertex", "left_anti")
+        front = materialize(nxt.withColumn("level", F.lit(level)), "bfs")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(source, vertex, distance) by rounds of relaxation; weights may be negative, cycles of negative weight may not be.
+
+    Only vertices whose distance fell are relaxed again, so rounds grow with the longest best path and work with change.
+    """
+    best = changed = materialize(sources.select(F.col("vertex").alias("source"), "vertex", F.lit(0.0).alias("distance")), "paths")
+    e = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    for _ in range(max_rounds):
+        step = changed.join(e, changed.vertex == e.src).select("source", F.col("dst").alias("vertex"), (F.col("distance") + F.col("weight")).alias("distance"))
+        step = step.groupBy("source", "vertex").agg(F.min("distance").alias("distance"))
+        old = best.withColumnRenamed("distance", "old")
+        changed = materialize(step.join(old, ["source", "vertex"], "left").filter("old IS NULL OR distance < old").select("source", "vertex", "distance"), "paths")
+        if changed.isEmpty():
+            return best
+        best = materialize(best.unionByName(changed).groupBy("source", "vertex").agg(F.min("distance").alias("distance")), "paths")
+    raise ValueError("no end after max_rounds: a cycle of negative weight is reachable")
+
+
+def all_pairs(edges: DataFrame) -> DataFrame:
+    """shortest_paths from every vertex."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
+    return shortest_paths(edges, ends)
+
+
+def topological_levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(vertex, level): the most edges on a path to a vertex; ordering by level is a topological order. Raises on a cycle."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
+    left, out = materialize(edges.select("src", "dst").distinct(), "topo"), None
+    todo = materialize(ends, "topo")
+    for level in range(max_rounds):
+        free = materialize(todo.join(left.select(F.col("dst").alias("vertex")).distinct(), "vertex", "left_anti"), "topo")
+        if free.isEmpty():
+            break
+        found = free.withColumn("level", F.lit(level))
+        out = found if out is None else out.unionByName(found)
+        todo = materialize(todo.join(free, "vertex", "left_anti"), "topo")
+        left = materialize(left.join(free, left.src == free.vertex, "left_anti"), "topo")
+    if not todo.isEmpty():
+        raise ValueError("the graph has a cycle")
+    return out if out is not None else ends.withColumn("level", F.lit(0))
+
+
+def dag_paths(edges: DataFrame, longest: bool = True) -> DataFrame:
+    """(vertex, distance): longest or shortest weighted path that ends in each vertex, in an acyclic graph; roots have 0."""
+    sign = -1.0 if longest else 1.0
+    e = edges.select("src", "dst", (F.col("weight") * sign).alias("weight"))
+    roots = e.select(F.col("src").alias("vertex")).distinct().join(e.select(F.col("dst").alias("vertex")).distinct(), "vertex", "left_anti")
+    return shortest_paths(e, roots).groupBy("vertex").agg((F.min("distance") * sign).alias("distance"))
+
+
+def minimum_spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """The edges (src, dst, weight) of a spanning forest of least weight, by Borůvka rounds; ties go by the ends' ids."""
+    e = materialize(edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").distinct(), "mst")
+    label = materialize(e.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct().withColumn("component", F.col("vertex")), "mst")
+    chosen = None
+    for _ in range(max_rounds):
+        a, b = label.select(F.col("vertex").alias("src"), F.col("component").alias("ca")), label.select(F.col("vertex").alias("dst"), F.col("component").alias("cb"))
+        open_ = e.join(a, "src").join(b, "dst").filter("ca <> cb")
+        sides = open_.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("weight", "src", "dst").alias("x"))
+        best = materialize(sides.groupBy("c").agg(F.min("x").alias("x")).select("x.*").distinct(), "mst")
+        if best.isEmpty():
+            break
+        chosen = best if chosen is None else chosen.unionByName(best)
+        joined = best.join(a, "src").join(b, "dst")
+        merged = connected_components(joined, "ca", "cb").withColumnRenamed("vertex", "old").withColumnRenamed("component", "new")
+        label = materialize(label.join(merged, label.component == merged.old, "left").select("vertex", F.coalesce("new", "component").alias("component")), "mst")
+    return (chosen if chosen is not None else e).select("src", "dst", "weight")
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(vertex, component): smallest vertex that each can reach and be reached from.
+
+    Colours by the smallest vertex that reaches each (forward), then takes those that reach their colour's vertex back;
+    what is left goes on, so work falls with every round.
+    """
+    left = materialize(edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct(), "scc")
+    e, out = materialize(edges.select("src", "dst").distinct(), "scc"), None
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            break
+        colour = left.withColumn("colour", F.col("vertex"))
+        while True:
+            step = e.join(colour, e.src == colour.vertex).groupBy("dst").agg(F.min("colour").alias("c"))
+            new = materialize(colour.join(step, colour.vertex == step.dst, "left").select("vertex", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")), "scc")
+            colour = new.select("vertex", "colour")
+            if new.filter("moved").isEmpty():
+                break
+        same = e.join(colour.select(F.col("vertex").alias("src"), F.col("colour").alias("k")), "src").join(colour.select(F.col("vertex").alias("dst"), F.col("colour").alias("k2")), "dst").filter("k = k2").select("src", "dst", "k")
+        found = front = materialize(colour.filter("vertex = colour"), "scc")
+        while True:
+            back = same.join(front, same.dst == front.vertex).select(F.col("src").alias("vertex"), F.col("k").alias("colour")).distinct().join(found, "vertex", "left_anti")
+            front = materialize(back, "scc")
+            if front.isEmpty():
+                break
+            found = found.unionByName(front)
+        found = materialize(found.select("vertex", F.col("colour").alias("component")), "scc")
+        out = found if out is None else out.unionByName(found)
+        left = materialize(left.join(found, "vertex", "left_anti"), "scc")
+        e = materialize(e.join(left.withColumnRenamed("vertex", "src"), "src", "left_semi").join(left.withColumnRenamed("vertex", "dst"), "dst", "left_semi"), "scc")
+    return out if out is not None else left.withColumn("component", F.col("vertex"))
+
+
+def flow_cost(edges: DataFrame) -> DataFrame:
+    """Total cost of a flow given (capacity, residual, weight) of the edges."""
+    return edges.filter("capacity > 0").agg(F.coalesce(F.sum((F.col("capacity") - F.col("residual")) * F.col("weight")), F.lit(0)).alias("cost"))
+
+
+def make_connected(components: DataFrame) -> DataFrame:
+    """Edges (src, dst) between successive components' smallest vertices, which connect the graph."""
+    from pyspark.sql import Window as W
+
+    roots = components.select("component").distinct()
+    return roots.select(F.lag("component").over(W.orderBy("component")).alias("src"), F.col("component").alias("dst")).filter("src IS NOT NULL")
+
+
+def reconcile(updates: DataFrame, key: str, value: str, version: str) -> DataFrame:
+    """The value of the highest version of each key."""
+    return updates.groupBy(key).agg(F.max_by(value, version).alias(value))
+
+
+def per_component(edges: DataFrame, function, schema: str) -> DataFrame:
+    """function(pandas frame of a component's edges) → pandas frame, for algorithms that are sequential by nature."""
+    comp = connected_components(edges)
+    grouped = edges.join(comp, edges.src == comp.vertex).drop("vertex")
+    return grouped.groupBy("component").applyInPandas(function, schema)
+
+
+def _adjacency(rows) -> dict[int, set[int]]:
+    out: dict[int, set[int]] = {}
+    for a, b in zip(rows["src"].tolist(), rows["dst"].tolist()):
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set()).add(a)
+    return out
+
+
+def maximal_cliques(edges: DataFrame) -> DataFrame:
+    """(component, clique): each maximal clique as a sorted array."""
+    import pandas as pd
+
+    def find(rows: pd.DataFrame) -> pd.DataFrame:
+        adj, out = _adjacency(rows[rows.src != rows.dst]), []
+        stack = [(frozenset(), set(adj), set())]
+        while stack:
+            held, may, done = stack.pop()
+            if not may and not done:
+                if held:
+                    out.append(sorted(held))
+                continue
+            pivot = max(may | done, key=lambda v: len(adj[v] & may))
+            for v in sorted(may - adj[pivot]):
+                stack.append((held | {v}, may & adj[v], done & adj[v]))
+                may = may - {v}
+                done = done | {v}
+        return pd.DataFrame({"component": int(rows["component"].iloc[0]), "clique": sorted(out)})
+
+    return per_component(edges, find, "component long, clique array<long>")
+
+
+def vertex_colouring(edges: DataFrame) -> DataFrame:
+    """(vertex, colour): each vertex in order of its id takes the least colour that no neighbour has."""
+    import pandas as pd
+
+    def colour(rows: pd.DataFrame) -> pd.DataFrame:
+        adj, got = _adjacency(rows[rows.src != rows.dst]), {}
+        for v in sorted(adj):
+            used = {got[u] for u in adj[v] if u in got}
+            got[v] = next(c for c in range(len(used) + 1) if c not in used)
+        return pd.DataFrame({"vertex": list(got), "colour": list(got.values())})
+
+    return per_component(edges, colour, "vertex long, colour int")
+
+
+def articulation(edges: DataFrame) -> DataFrame:
+    """(vertex) whose removal parts its component, by depth-first low links over an explicit stack."""
+    import pandas as pd
+
+    def find(rows: pd.DataFrame) -> pd.DataFrame:
+        adj = {v: sorted(n) for v, n in _adjacency(rows[rows.src != rows.dst]).items()}
+        order, low, out = {}, {}, set()
+        for root in sorted(adj):
+            if root in order:
+                continue
+            order[root] = low[root] = len(order)
+            stack, kids = [(root, None, iter(adj[root]))], 0
+            while stack:
+                v, up, it = stack[-1]
+                w = next(it, None)
+                if w is None:
+                    stack.pop()
+                    if up is not None:
+                        low[up] = min(low[up], low[v])
+                        if up != root and low[v] >= order[up]:
+                            out.add(up)
+                elif w not in order:
+                    order[w] = low[w] = len(order)
+                    kids += v == root
+                    stack.append((w, v, iter(adj[w])))
+                elif w != up:
+                    low[v] = min(low[v], order[w])
+            if kids > 1:
+                out.add(root)
+        return pd.DataFrame({"vertex": pd.Series(sorted(out), dtype="int64")})
+
+    return per_component(edges, find, "vertex long")
+
+
+def depth_first(edges: DataFrame) -> DataFrame:
+    """(vertex, discovered, finished) of a depth-first walk of each component, smallest ids first; directed edges."""
+    import pandas as pd
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        out_of: dict[int, list[int]] = {v: [] for v in sorted({*rows["src"], *rows["dst"]})}
+        for a, b in sorted({*zip(rows["src"].tolist(), rows["dst"].tolist())}):
+            out_of[a].append(b)
+        seen, done, t = {}, {}, 0
+        for root in out_of:
+            if root in seen:
+                continue
+            seen[root], t = t, t + 1
+            stack = [(root, iter(out_of[root]))]
+            while stack:
+                v, it = stack[-1]
+                w = next((x for x in it if x not in seen), None)
+                if w is None:
+                    done[v], t = t, t + 1
+                    stack.pop()
+                else:
+                    seen[w], t = t, t + 1
+                    stack.append((w, iter(out_of[w])))
+        return pd.DataFrame({"vertex": list(seen), "discovered": list(seen.values()), "finished": [done[v] for v in seen]})
+
+    return per_component(edges, walk, "vertex long, discovered long, finished long")
+
+
+def max_flow(edges: DataFrame, source: int, sink: int) -> DataFrame:
+    """(src, dst, flow) of a maximum flow by shortest augmenting paths, for graphs of one component's size."""
+    import pandas as pd
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        cap: dict[int, dict[int, float]] = {}
+        for a, b, c in zip(rows["src"].tolist(), rows["dst"].tolist(), rows["capacity"].tolist()):
+            cap.setdefault(a, {})[b] = cap.get(a, {}).get(b, 0) + c
+            cap.setdefault(b, {}).setdefault(a, 0)
+        left = {a: dict(n) for a, n in cap.items()}
+        while source in left and sink in left:
+            came, queue = {source: None}, [source]
+            for v in queue:
+                for w, c in left[v].items():
+                    if c > 0 and w not in came:
+                        came[w] = v
+                        queue.append(w)
+            if sink not in came:
+                break
+            path, v = [], sink
+            while came[v] is not None:
+                path.append((came[v], v))
+                v = came[v]
+            push = min(left[a][b] for a, b in path)
+            for a, b in path:
+                left[a][b] -= push
+                left[b][a] += push
+        pairs = sorted({*zip(rows["src"].tolist(), rows["dst"].tolist())})
+        return pd.DataFrame([(a, b, float(max(0.0, cap[a][b] - left[a][b]))) for a, b in pairs], columns=["src", "dst", "flow"])
+
+    return per_component(edges, solve, "src long, dst long, flow double")

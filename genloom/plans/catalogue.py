@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from genloom.plans import discovery
+from genloom.plans import discovery, relational
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (discovery,):
+for _m in (discovery, relational):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from genloom.plans import discovery, relational
+from genloom.plans import discovery, relational, structures
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (discovery, relational):
+for _m in (discovery, relational, structures):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

@@ -53,8 +53,9 @@ def tokens(s: Column, pattern: str = r"\w+") -> Column:
 
 def separated(s: Column, dropped: str, kept: str = "", keep_empty: bool = False) -> Column:
     """Tokens between dropped separators; kept separators are tokens of their own."""
-    cut = f"[{dropped}]" + (f"|(?<=[{kept}])|(?=[{kept}])" if kept else "")
-    parts = F.split(s, cut, -1)
+    if kept:
+        s = F.regexp_replace(s, f"([{kept}])", "\x01$1\x01")
+    parts = F.split(s, f"[\x01{dropped}]", -1)
     return parts if keep_empty else F.filter(parts, lambda x: x != "")
 
 

@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by a count-vector R-tree.
 
-A document is the set of its distinct word shingles. Shingles hash into GROUPS groups; the counts of a document's shingles
-by group are its point. The overlap of two sets is at most the sum of the coordinate minima of their points, and of a
+A document is the set of its distinct word shingles. Shingles hash into groups; the counts of a document's shingles by
+group are its point. The groups of a set of n number about n / DENSITY, a power of two and GROUPS at least, by the low bits
+of the hash, so a finer point folds onto a coarser one and bounds stay sharp at any size. The overlap of two sets is at most the sum of the coordinate minima of their points, and of a
 query and anything below an R-tree node at most the sum of the minima with the node's upper corner. Nodes and pairs whose
 bound falls short of the threshold are cut, surviving pairs are verified on the shingles of the whole texts.
 
@@ -11,8 +12,8 @@ the threshold share a key in every case (the prefix principle), which keeps the
 frequency class from a sketch of fixed width, then by hash; so a passage that many documents share routes almost nothing.
 
 Copies collapse to one representative first. Large groups of near copies are joined to a hub of their key and become one
-component before any tree is built, so no group emits all its pairs; trees hold only documents of different components,
-in blocks of BLOCK, and each pair of blocks is a task's work.
+component before any tree is built, so no group emits all its pairs. Keys that still hold several components deal their
+documents to trees: one for a family of documents that such keys chain together, or one a key where a family is large.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,11 +31,14 @@ from genloom.llm import textkernel as tk
 from genloom.operators.graph import connected_components
 from genloom.runtime import materialize, small_or_not, table
 
-GROUPS = 128
+GROUPS, DENSITY = 64, 1
 WIDTH = 1 << 20
 SPLIT = 100_000
 BLOCK = 2048
+FAMILY, STRONG = 1024, 3
 LEAF = 16
+_SIZES = (np.uint8, np.uint16, np.uint32)
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1, write_checksum=False), zstandard.ZstdDecompressor()
 #: The threshold as a fraction: 75 of 100.
 NUM, DEN = 75, 100
 
@@ -55,32 +60,56 @@ def _sketch(k: int):
         for b in batches:
             for _, data, off in tk.slices(b.column(0)):
                 count += np.bincount((tk.Words(data, off, lower=True).shingles(k)[1] >> tk.U(44)).astype(np.int64), minlength=WIDTH)
-        at = np.flatnonzero(count > 4 * count.mean() + 4)
-        for i in range(0, len(at), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 10_000].astype(np.int32)), pa.array(count[at[i : i + 10_000]])], ["slot", "n"])
+        if count.any():
+            yield _blocks(range(WIDTH // 4096), count.reshape(-1, 4096))
 
     return part
 
 
+def _blocks(at, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(at), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], ["block", "counts"])
+
+
+def _summed(batches):
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for at, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            c = np.frombuffer(c, np.int64)
+            total[at] = total[at] + c if at in total else c
+    if total:
+        yield _blocks(total, total.values())
+
+
 def frequency_classes(texts: DataFrame, k: int) -> np.ndarray:
-    """For each of WIDTH slots of the hash space the binary logarithm of its count, or 0 where it doesn't stand out.
+    """For each of WIDTH slots of the hash space the binary logarithm of its excess over the mean, or 0 within the noise.
 
-    What comes to the driver is at most WIDTH rows whatever the corpus; it only orders shingles and never drops any.
+    Every map task sends WIDTH counters whatever it has read and WIDTH counters come to the driver; they only order
+    shingles and never drop any.
     """
-    out = np.zeros(WIDTH, np.uint8)
-    for slot, n in texts.mapInArrow(_sketch(k), "slot int, n long").groupBy("slot").agg(F.sum("n")).toPandas().itertuples(index=False):
-        out[slot] = max(1, int(n).bit_length())
-    return out
+    parts = texts.mapInArrow(_sketch(k), "block int, counts binary").repartition("block").mapInArrow(_summed, "block int, counts binary")
+    count = np.zeros(WIDTH, np.int64)
+    for r in parts.toLocalIterator():
+        count[r.block * 4096 : r.block * 4096 + 4096] += np.frombuffer(bytes(r.counts), np.int64)
+    mean = count.mean()
+    over = np.maximum(0, count - mean)
+    return np.where(over > 5 * np.sqrt(mean) + 8, np.ceil(np.log2(over + 1)), 0).astype(np.uint8)
 
 
 def _vector(u: np.ndarray) -> bytes:
-    c = np.bincount((u & tk.U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    """The point of a set: a byte with the binary logarithm of its groups, one with that of a count's bytes, packed counts."""
+    bits = max(GROUPS.bit_length() - 1, (len(u) // DENSITY).bit_length())
+    c = np.bincount((u & tk.U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
     top = c.max(initial=0)
-    return c.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32).tobytes()
+    size = 0 if top < 256 else 1 if top < 65536 else 2
+    return bytes([bits, size]) + _PACK.compress(c.astype(_SIZES[size]).tobytes())
 
 
-def _point(v: bytes) -> np.ndarray:
-    return np.frombuffer(v, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(v) // GROUPS]).astype(np.int32)
+def _point(v: bytes, bits: int | None = None) -> np.ndarray:
+    """The counts of a point, folded onto 2 ** bits groups if it has more."""
+    c = np.frombuffer(_UNPACK.decompress(v[2:]), _SIZES[v[1]])
+    if bits is not None and bits < v[0]:
+        c = c.reshape(-1, 1 << bits).sum(axis=0)
+    return c.astype(np.int32)
 
 
 _SIG = "doc_id long, n long, digest binary, vec binary, keys array<long>, parts array<int>"
@@ -118,7 +147,8 @@ def _bounded(batches):
     for b in batches:
         na, nb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
         va, vb = b.column("va").to_pylist(), b.column("vb").to_pylist()
-        keep = [i for i in range(len(va)) if (DEN + NUM) * int(np.minimum(_point(va[i]), _point(vb[i])).sum()) >= NUM * (na[i] + nb[i])]
+        both = [min(x[0], y[0]) for x, y in zip(va, vb)]
+        keep = [i for i, k in enumerate(both) if (DEN + NUM) * int(np.minimum(_point(va[i], k), _point(vb[i], k)).sum()) >= NUM * (na[i] + nb[i])]
         yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
@@ -144,65 +174,82 @@ class RTree:
     """Points in packed leaves: sorted by total, then by their widest coordinates; nodes hold upper corner and least total."""
 
     def __init__(self, points: np.ndarray, totals: np.ndarray):
-        wide = np.argsort(-points.var(axis=0))[:2]
-        strip = np.argsort(np.argsort(totals, kind="stable"), kind="stable") // (LEAF * LEAF)
-        self.order = np.lexsort((points[:, wide[1]], points[:, wide[0]] // 2, strip))
+        self.order = np.arange(len(points))
+        if len(points) > LEAF:
+            wide = np.argsort(-points.var(axis=0))[:2]
+            strip = np.argsort(np.argsort(totals, kind="stable"), kind="stable") // (LEAF * LEAF)
+            self.order = np.lexsort((points[:, wide[1]], points[:, wide[0]] // 2, strip))
         self.levels = [(points[self.order], totals[self.order], totals[self.order])]
         while len(self.levels[-1][0]) > LEAF:
             p, lo, hi = self.levels[-1]
             at = np.arange(0, len(p), LEAF)
             self.levels.append((np.maximum.reduceat(p, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)))
 
-    def search(self, q: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-        """(indices of points whose bound with q reaches the threshold, their bounds)."""
-        at = np.arange(len(self.levels[-1][0]))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            p, lo, hi = self.levels[depth]
-            at = at[(DEN * total >= NUM * lo[at]) & (DEN * hi[at] >= NUM * total)]
-            bound = np.minimum(p[at], q).sum(axis=1)
-            ok = (DEN + NUM) * bound >= NUM * (total + lo[at])
-            at, bound = at[ok], bound[ok]
-            if depth:
-                at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-                at = at[at < len(self.levels[depth - 1][0])]
-        return self.order[at], bound
+    def search(self, q: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point, bound) of every pair whose bound reaches the threshold; q holds the queries' points as rows."""
+        found = []
+        step = max(1, 4_000_000 // (q.shape[1] * LEAF))
+        for at in range(0, len(q), step):
+            nodes = len(self.levels[-1][0])
+            i = np.repeat(np.arange(at, min(len(q), at + step)), nodes)
+            j = np.tile(np.arange(nodes), len(i) // nodes)
+            for depth in range(len(self.levels) - 1, -1, -1):
+                p, lo, hi = self.levels[depth]
+                ok = (DEN * totals[i] >= NUM * lo[j]) & (DEN * hi[j] >= NUM * totals[i])
+                i, j = i[ok], j[ok]
+                bound = np.zeros(len(i), np.int64)
+                for c in range(0, len(i), step * LEAF):
+                    bound[c : c + step * LEAF] = np.minimum(p[j[c : c + step * LEAF]], q[i[c : c + step * LEAF]]).sum(axis=1)
+                ok = (DEN + NUM) * bound >= NUM * (totals[i] + lo[j])
+                i, j, bound = i[ok], j[ok], bound[ok]
+                if depth:
+                    i, j = np.repeat(i, LEAF), (j[:, None] * LEAF + np.arange(LEAF)).ravel()
+                    ok = j < len(self.levels[depth - 1][0])
+                    i, j = i[ok], j[ok]
+            found.append((i, self.order[j], bound))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def _tree_pairs(best: bool):
     """From rows (g, side, doc, comp, n, vec) sorted by g, the pairs of different components that survive the tree of g.
 
-    side 0 is a block joined with itself; 1 and 2 are two blocks. best: for each document and other component only the
-    pair with the largest bound, as a first round that merges what belongs together.
+    side 0 is a block joined with itself; 1 and 2 are two blocks. best: for each document only the pair with the largest
+    bound, as a first round that merges what belongs together; a group that held back others gives a row (null, null, g).
     """
 
     def group(side, doc, comp, n, vec):
-        pts = np.stack([_point(v) for v in vec])
-        left, right = (np.flatnonzero(side != 2), np.flatnonzero(side != 1))
-        tree, out = RTree(pts[left], n[left]), {}
-        for j in right:
-            hit, bound = tree.search(pts[j], int(n[j]))
-            hit = left[hit]
-            ok = comp[hit] != comp[j]
-            for i, w in zip(hit[ok], bound[ok]):
-                pair = (max(doc[i], doc[j]), min(doc[i], doc[j]))
-                key = (doc[j], comp[i]) if best else pair
-                if key not in out or out[key][0] < w:
-                    out[key] = (w, pair)
-        return {p for _, p in out.values()}
+        bits, out, held_back = np.array([v[0] for v in vec]), {}, False
+        left, right = side != 2, side != 1
+        for own in np.unique(bits[left]):
+            mine = np.flatnonzero(left & (bits == own))
+            for k in (own - 1, own):  # folded for queries with half the groups; as it is for those with as many or more
+                q = np.flatnonzero(right & (bits == k if k < own else bits >= own) & (n * DEN >= n[mine].min() * NUM) & (n[mine].max() * DEN >= n * NUM))
+                if not len(q) or (len(q) == 1 and len(mine) == 1 and q[0] == mine[0]):
+                    continue
+                tree = RTree(np.stack([_point(vec[i], k) for i in mine]), n[mine])
+                a, b, bound = tree.search(np.stack([_point(vec[i], k) for i in q]), n[q])
+                a, b = q[a], mine[b]
+                ok = comp[a] != comp[b]
+                for i, j, w in zip(a[ok], b[ok], bound[ok]):
+                    pair = (max(doc[i], doc[j]), min(doc[i], doc[j]))
+                    key = doc[i] if best else pair
+                    if key not in out or out[key][0] < w:
+                        out[key] = (w, pair)
+                held_back |= bool(ok.sum() > len({*a[ok]})) and best
+        return {p for _, p in out.values()}, held_back
 
     def part(batches):
         held, gid, seen = [], None, set()
 
         def flush():
-            cols = [np.concatenate(c) for c in zip(*held)]
-            fresh = group(*cols) - seen
+            fresh, held_back = group(*(np.concatenate(c) for c in zip(*held)))
+            fresh = sorted(fresh - seen)
             if len(seen) < 1_000_000:
                 seen.update(fresh)
-            return fresh
+            return [(*map(int, p), None) for p in fresh] + [(None, None, gid)] * held_back
 
-        def batch(pairs):
-            a = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], ["a", "b", "g"])
 
         for b in batches:
             g = b.column("g").to_pylist()
@@ -242,21 +289,45 @@ def _with_points(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(near).mapInArrow(_bounded, "a long, b long")
 
 
-def _tree_rows(posts: DataFrame, comp: DataFrame, points: DataFrame) -> DataFrame:
-    """Rows for _tree_pairs: the documents of every key that still has two components, dealt into blocks."""
-    lab = posts.join(small_or_not(comp), posts.doc == comp.vertex, "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+def _deal(posts: DataFrame, comp: DataFrame, points: DataFrame) -> DataFrame:
+    """(g, side, doc): which documents meet in which tree, for all keys that still have two components.
+
+    Documents that share STRONG such keys with a hub chain to families. A family of at most FAMILY documents is one tree, so
+    that each of its pairs is looked at once however many keys it shares. A key that several families or a larger one hold
+    is a tree of its own, keys with equal members share one, and a key of more than BLOCK documents is dealt as pairs of
+    blocks.
+    """
+    lab = posts.join(small_or_not(comp), posts.doc == comp.vertex, "left").select("key", "part", "doc", "hub", F.coalesce("component", "doc").alias("comp"))
     h = F.xxhash64("doc")
-    of = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("y")).filter("lo < hi")
-    of = of.groupBy("size", "x", "y").agg(F.min("key").alias("key"))  # keys with equal members need one tree
-    of = materialize(of.select("key", "size"), "tree-keys")
-    rows = lab.join(small_or_not(of), "key").join(points.select(F.col("doc_id").alias("doc"), "n", "vec"), "doc")
-    few = rows.filter(F.col("size") <= BLOCK).select(F.col("key").cast("string").alias("g"), F.lit(0).alias("side"), "doc", "comp", "n", "vec")
-    place = F.row_number().over(W.partitionBy("key").orderBy("n", "doc")) - 1
-    many = rows.filter(F.col("size") > BLOCK).withColumn("blk", F.floor(place / BLOCK).cast("int")).withColumn("blks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    of = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.max("part").alias("parts"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("y"))
+    of = small_or_not(materialize(of.filter("lo < hi").drop("lo", "hi"), "tree-keys"))
+    rows = materialize(posts.join(of, "key").select("key", "doc", "hub", "size", "parts", "x", "y"), "tree-postings")
+    strong = rows.filter("doc <> hub").groupBy("doc", "hub").agg(F.count(F.lit(1)).alias("keys")).filter(F.col("keys") >= STRONG)
+    family = materialize(connected_components(strong, "doc", "hub"), "families")
+    large = materialize(family.groupBy("component").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > FAMILY).select("component", F.lit(True).alias("large")), "large-families")
+    family = materialize(family.join(small_or_not(large), "component", "left").select("vertex", F.col("component").alias("family"), F.coalesce("large", F.lit(False)).alias("large")), "family-of")
+    few = family.filter("NOT large").select(F.concat(F.lit("f"), "family").alias("g"), F.lit(0).alias("side"), F.col("vertex").alias("doc"))
+    by_key = rows.join(small_or_not(family), rows.doc == family.vertex, "left").withColumn("family", F.coalesce("family", "doc"))
+    one = by_key.groupBy("key", "size", "x", "y").agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.bool_or(F.coalesce("large", F.lit(False))).alias("any"))
+    one = one.filter("lo < hi OR any").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
+    by_key = rows.join(small_or_not(materialize(one, "distinct-keys")), "key", "left_semi")
+    alone = by_key.filter(F.col("size") <= BLOCK).select(F.col("key").cast("string").alias("g"), F.lit(0).alias("side"), "doc")
+    place = F.row_number().over(W.partitionBy("key").orderBy("doc")) - 1
+    many = by_key.filter(F.col("size") > BLOCK).withColumn("blk", F.floor(place / BLOCK).cast("int")).withColumn("blks", F.ceil(F.col("size") / BLOCK).cast("int"))
     many = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blks") - 1)))
     lo, hi = F.least("blk", "o"), F.greatest("blk", "o")
-    many = many.select(F.concat_ws(":", "key", lo, hi).alias("g"), F.when(lo == hi, 0).when(F.col("blk") == lo, 1).otherwise(2).alias("side"), "doc", "comp", "n", "vec")
-    return few.unionByName(many)
+    many = many.select(F.concat_ws(":", "key", lo, hi).alias("g"), F.when(lo == hi, 0).when(F.col("blk") == lo, 1).otherwise(2).alias("side"), "doc")
+    # a document without a neighbour in size has no partner in its tree
+    alone = few.unionByName(alone).join(points.select(F.col("doc_id").alias("doc"), "n"), "doc")
+    by_size = W.partitionBy("g").orderBy("n", "doc")
+    near = (F.lag("n").over(by_size) * DEN >= F.col("n") * NUM) | (F.col("n") * DEN >= F.lead("n").over(by_size) * NUM)
+    alone = alone.withColumn("near", near).filter("near").select("g", "side", "doc")
+    return materialize(alone.unionByName(many), "trees")
+
+
+def _tree_rows(trees: DataFrame, comp: DataFrame, points: DataFrame) -> DataFrame:
+    lab = trees.join(small_or_not(comp), trees.doc == comp.vertex, "left").select("g", "side", "doc", F.coalesce("component", "doc").alias("comp"))
+    return lab.join(points.select(F.col("doc_id").alias("doc"), "n", "vec"), "doc")
 
 
 def ngram_components(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,18 +347,23 @@ def ngram_components(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     posts = reps.select(F.col("r.doc_id").alias("doc"), F.explode(F.arrays_zip("r.keys", "r.parts")).alias("z")).select("doc", F.col("z.keys").alias("key"), F.col("z.parts").alias("part"))
     of_key = W.partitionBy("key", "part")
     posts = posts.withColumn("size", F.count(F.lit(1)).over(of_key)).withColumn("hub", F.min("doc").over(of_key))
-    posts = materialize(posts.filter("size > 1 OR part > 0").select("key", "doc", "hub"), "postings")
+    posts = materialize(posts.filter("size > 1 OR part > 0").select("key", "part", "doc", "hub"), "postings")
     points = full.select("doc_id", "n", "vec")
     pairs = posts.filter("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
     links = _verify(_with_points(pairs, points).distinct(), docs, k)
     comp = materialize(connected_components(links, "a", "b"), "components")
+    trees = _deal(posts, comp, points)
     for best in (True, False):
-        rows = _tree_rows(posts, comp, points)
-        found = rows.repartition("g").sortWithinPartitions("g").mapInArrow(_tree_pairs(best), "a long, b long").distinct()
-        more = _verify(found, docs, k)
+        rows = _tree_rows(trees, comp, points).repartition("g").sortWithinPartitions("g")
+        found = materialize(rows.mapInArrow(_tree_pairs(best), "a long, b long, g string"), "tree-pairs")
+        more = _verify(found.select("a", "b").dropna().distinct(), docs, k)
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = materialize(connected_components(links, "a", "b"), "components")
+        rest = found.filter("g IS NOT NULL").select("g").distinct()
+        if rest.isEmpty():
+            break
+        trees = trees.join(small_or_not(materialize(rest, "rest")), "g", "left_semi")
     same = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest", "rep"), "copies")
     out = sig.select("doc_id", "n", "digest").distinct().join(small_or_not(same), "digest", "left")
     own = F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from genloom.runtime import materialize
 
 
+def _checksum(edges: DataFrame) -> tuple:
+    """Equal for equal sets of edges: their number, and two sums of 64-bit hashes."""
+    h = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit((1 << 31) - 1)))).first())
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """(vertex, component): the smallest vertex that each vertex of an edge can reach, direction ignored.
 
@@ -20,8 +26,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     cur = materialize(
         ends.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
     )
+    mark = _checksum(cur)
     for _ in range(max_rounds):
-        if cur.isEmpty():
+        if not mark[0]:
             break
         # large-star: every larger neighbour of u moves to the smallest vertex around u
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -31,10 +38,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # small-star: every smaller neighbour of u, and u, move to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        nxt = materialize(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc")
-        same = nxt.count() == cur.count() and nxt.join(cur, ["a", "b"], "left_anti").isEmpty()
-        cur = nxt
-        if same:
+        cur = materialize(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        before, mark = mark, _checksum(cur)
+        if mark == before:
             break
     stars = cur.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("vertex"), "component")
     roots = cur.select(F.col("b").alias("vertex")).distinct().withColumn("component", F.col("vertex"))

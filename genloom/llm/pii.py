@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genloom.llm import textkernel as tk
 from genloom.llm.spans import digest, joined
 from genloom.runtime import table
 
@@ -43,8 +44,11 @@ _ONE = rf"(?:(?:double|triple)[\s-]+)?(?<!\w)(?:{_WORDS})(?!\w)"
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[\s-]+)?{_ONE}(?:[\s,.()+-]*(?:{_ONE}|[0-9]|plus(?!\w)|(?:dot|point)(?!\w))){{2,}}", re.I)
 SPELLED_PART = re.compile(rf"(?:(double|triple)[\s-]+)?(?<!\w)({_WORDS})(?!\w)|(plus)(?!\w)|(dot|point)(?!\w)", re.I)
 _HINTS = ("zero", "two", "three", "four", "five", "seven", "eight", "nine", "zwei", "drei", "fünf", "sechs", "sieben", "cuatro", "cinco", "siete", "nueve", "trois", "quatre", "cinq", "neuf")
+#: Top-level domains that may end an address whose at is a bare word; those that are common words are left out.
+_TOP = "com|org|net|edu|gov|mil|info|biz|io|co|dev|app|ai|uk|ca|de|fr|es|nl|eu|ch|se|dk|fi|pl|pt|br|mx|jp|cn|ru|au|nz"
+_POINT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+|\.)"
 #: Bracketed or spelled at and dot.
-AT = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*|\s+(?:at|arroba)\s+(?=[\w-]+(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+|\.)[\w-])|\s*[_-]+at[_-]+\s*", re.I)
+AT = re.compile(rf"\s*[\[({{<]\s*(?:at|@|arroba|ät)\s*[\])}}>]\s*|\s+(?:at|arroba)\s+(?=[\w-]+(?:{_POINT}[\w-]+)*?{_POINT}(?:{_TOP})(?!\w))|\s*[_-]+at[_-]+\s*", re.I)
 DOT = re.compile(r"\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|(?<=\w)\s+(?:dot|punkt|punto)\s+(?=\w)|(?<=\w)\s*[_-]+dot[_-]+\s*(?=\w)", re.I)
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\x20{1,3}@\x20{0,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\x20{1,3}(?=[A-Za-z0-9])")
 AT_TRIGGER = re.compile(r"[\[({<]\s*(?:at|@|arroba|ät|dot|punkt|punto|\.)\s*[\])}>]|\s(?:dot|punkt|punto)\s|[_-](?:at|dot)[_-]|[A-Za-z0-9]\x20@|@\x20[A-Za-z0-9]", re.I)
@@ -215,7 +219,7 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.string()) for c in cols[5:])], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_disguised", "base_sha256", "spans"])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_disguised long, base_sha256 string, spans string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(part, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(tk.released(part), schema)
 
 
 def op2_pii(spark, sf_dir):

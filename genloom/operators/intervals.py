@@ -167,3 +167,30 @@ def interpolate(points: DataFrame, knots: DataFrame, keys: list[str], position:
     x, b, a = F.col(position).cast("double"), F.col("__b"), F.col("__a")
     y = F.when(b.isNull(), a["y"]).when(a.isNull() | (a["x"] == b["x"]), b["y"]).otherwise(b["y"] + (a["y"] - b["y"]) * (x - b["x"]) / (a["x"] - b["x"]))
     return out.withColumn(value, y).select(*points.columns, value)
+
+
+def tidy_overlapping(df: DataFrame, keys: list[str], start: str, end: str, indices: str) -> DataFrame:
+    """Segments of a cluster made disjoint: cut at every border, each piece with the sorted union of the indices of what
+    covers it, and touching pieces of equal indices joined. Closed segments; (keys, start, end, indices)."""
+    cut = sweep({"a": df.withColumn("__stop", F.col(end) + 1)}, keys, start, "__stop").filter("n_a > 0").select(*keys, F.col("start").alias("__lo"), (F.col("end") - 1).alias("__hi"))
+    by = W.partitionBy(*keys).orderBy("__at")
+    # each segment's indices enter at its start and leave after its end; an index is on where its running count is above 0
+    ids = df.select(*keys, F.explode(indices).alias("__i"), F.col(start).alias("__s"), (F.col(end) + 1).alias("__e"))
+    spans = gap_islands(ids, [*keys, "__i"], "__s", "__e").select(*keys, "__i", F.col("start").alias("__s"), (F.col("end") - 1).alias("__e"))
+    width = 1 << 16
+    hit = overlap_join(cut, spans, keys, ("__lo", "__hi"), ("__s", "__e"), width)
+    piece = hit.groupBy(*keys, "__lo", "__hi").agg(F.array_sort(F.collect_set("__i")).alias("indices")).withColumn("__at", F.col("__lo"))
+    new = ~((F.lag("__hi").over(by) + 1).eqNullSafe(F.col("__lo")) & F.lag("indices").over(by).eqNullSafe(F.col("indices")))
+    run = piece.withColumn("__g", new.cast("int"))
+    run = run.withColumn("__g", F.sum("__g").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return run.groupBy(*keys, "__g").agg(F.min("__lo").alias("start"), F.max("__hi").alias("end"), F.first("indices").alias("indices")).drop("__g")
+
+
+def box_join(a: DataFrame, b: DataFrame, a_box: tuple[str, str, str, str], b_box: tuple[str, str, str, str], width: float) -> DataFrame:
+    """Pairs of closed boxes (x0, y0, x1, y1) that meet, by an equi join on grid cells; a pair counts in the cell of the
+    lower corner of its overlap only. Column names of a and b must differ."""
+    (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = a_box, b_box
+    cell = lambda df, x0, y0, x1, y1, n: df.withColumn(f"__x{n}", F.explode(_bins(F.col(x0), F.col(x1), width))).withColumn(f"__y{n}", F.explode(_bins(F.col(y0), F.col(y1), width)))
+    on = (F.col("__x1") == F.col("__x2")) & (F.col("__y1") == F.col("__y2")) & (F.col(ax0) <= F.col(bx1)) & (F.col(bx0) <= F.col(ax1)) & (F.col(ay0) <= F.col(by1)) & (F.col(by0) <= F.col(ay1))
+    own = (F.floor(F.greatest(F.col(ax0), F.col(bx0)) / width) == F.col("__x1")) & (F.floor(F.greatest(F.col(ay0), F.col(by0)) / width) == F.col("__y1"))
+    return cell(a, *a_box, 1).join(cell(b, *b_box, 2), on & own).drop("__x1", "__y1", "__x2", "__y2")

@@ -117,11 +117,16 @@ def generate(haplotypes: DataFrame, refs: DataFrame, group_size: int, rho: float
 
 
 def pair_table(generated: DataFrame) -> DataFrame:
-    """Long form (chr, snp_idx, hap_id, allele, Knockoff) with original and control rows; order within a pair by a hash."""
+    """Long form (chr, snp_idx, hap_id, allele, Knockoff) with original and control rows; see pair_order."""
     both = generated.select("chr", "hap_id", F.explode(F.array(F.struct(F.col("alleles").alias("a"), F.lit(False).alias("k")), F.struct(F.col("controls").alias("a"), F.lit(True).alias("k")))).alias("x"))
     return both.select("chr", "hap_id", F.posexplode("x.a").alias("snp_idx", "allele"), F.col("x.k").alias("Knockoff"))
 
 
+def pair_order(seed: int, *key: str) -> F.Column:
+    """Whether a variant's control is written before its original: a coin that depends on the seed and the key only."""
+    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(2)) == 1
+
+
 def marginal_importance(long: DataFrame, phenotype: DataFrame) -> DataFrame:
     """(chr, snp_idx, Knockoff, beta): slope of the phenotype (hap_id, y) on each variant, in one aggregate."""
     df = long.join(phenotype, "hap_id")

@@ -330,6 +330,46 @@ def matrix_product(s, d):
     return a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("va") * F.col("vb")).alias("v"))
 
 
+@query("SELECT event_type, bit_and(user_id) AS all_bits, bit_or(user_id) AS any_bits, bit_xor(user_id) AS odd_bits, sum(bit_count(user_id))::BIGINT AS ones FROM events GROUP BY event_type")
+def bitset(s, d):
+    u = F.col("user_id")
+    return T(s, d, "events").groupBy("event_type").agg(F.bit_and(u).alias("all_bits"), F.bit_or(u).alias("any_bits"), F.bit_xor(u).alias("odd_bits"), F.sum(F.bit_count(u)).alias("ones"))
+
+
+@query("SELECT user_id, map_keys(m) AS k, map_values(m) AS v FROM (SELECT user_id, map_from_entries(list({'k': event_type, 'v': n} ORDER BY event_type)) AS m FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY user_id)")
+def map_keys_values(s, d):
+    n = T(s, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    m = n.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("m"))
+    return m.select("user_id", F.map_keys("m").alias("k"), F.map_values("m").alias("v"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def top_k(s, d):
+    return T(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3")
+def top_k_per_key(s, d):
+    from pyspark.sql import Window as W
+
+    o = T(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return o.withColumn("rank", F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))).filter("rank <= 3").drop("o_totalprice")
+
+
+@query("SELECT 'shared' AS side, user_id FROM (SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase') UNION ALL SELECT 'only', user_id FROM (SELECT user_id FROM events WHERE event_type = 'click' AND value > 90 EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90)")
+def set_operations(s, d):
+    e = T(s, d, "events")
+    side = lambda t, v: e.filter((F.col("event_type") == t) & (F.col("value") > v)).select("user_id")
+    both, only = side("click", -1e9).intersect(side("purchase", -1e9)), side("click", 90).subtract(side("purchase", 90))
+    return both.select(F.lit("shared").alias("side"), "user_id").unionByName(only.select(F.lit("only").alias("side"), "user_id"))
+
+
+@query("SELECT c_name, md5(c_name) AS md5, sha1(c_name) AS sha1, sha256(c_name) AS sha256 FROM customer")
+def hashes(s, d):
+    n = F.col("c_name").cast("binary")
+    return T(s, d, "customer").select("c_name", F.md5(n).alias("md5"), F.sha1(n).alias("sha1"), F.sha2(n, 256).alias("sha256"))
+
+
 # haplotypes
 
 _BITS = "[CASE WHEN x > 0 THEN 1 ELSE 0 END for x in embedding]"

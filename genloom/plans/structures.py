@@ -128,6 +128,24 @@ def asof_interpolate(s, d):
     return intervals.interpolate(e.filter("event_type <> 'purchase'").select("user_id", "event_id", "s"), knots, ["user_id"], "s", "y").select("event_id", F.round("y", 4).alias("y"))
 
 
+@query("""WITH s AS (SELECT l_suppkey AS k, l_orderkey * 3 AS lo, l_orderkey * 3 + l_quantity::BIGINT AS hi, l_linenumber AS i FROM lineitem),
+   b AS (SELECT k, lo AS x FROM s UNION SELECT k, hi + 1 FROM s), c AS (SELECT k, x AS lo, lead(x) OVER (PARTITION BY k ORDER BY x) - 1 AS hi FROM b),
+   p AS (SELECT c.k, c.lo, c.hi, list_sort(list(DISTINCT i)) AS ix FROM c JOIN s ON s.k = c.k AND s.lo <= c.lo AND s.hi >= c.hi GROUP BY 1, 2, 3),
+   n AS (SELECT *, CASE WHEN lag(hi) OVER w + 1 = lo AND lag(ix) OVER w = ix THEN 0 ELSE 1 END AS nw FROM p WINDOW w AS (PARTITION BY k ORDER BY lo)),
+   g AS (SELECT *, sum(nw) OVER (PARTITION BY k ORDER BY lo ROWS UNBOUNDED PRECEDING) AS g FROM n)
+   SELECT k, min(lo) AS lo, max(hi) AS hi, any_value(ix) AS indices FROM g GROUP BY k, g""")
+def tidy_segments(s, d):
+    seg = T(s, d, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 3).alias("lo"), (F.col("l_orderkey") * 3 + F.col("l_quantity").cast("long")).alias("hi"), F.array("l_linenumber").alias("ix"))
+    return intervals.tidy_overlapping(seg, ["k"], "lo", "hi", "ix").select("k", F.col("start").alias("lo"), F.col("end").alias("hi"), "indices")
+
+
+@query("""SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size - 2 <= s_nationkey + 3 AND s_nationkey - 3 <= p_size + 2 AND p_partkey - 5 <= s_suppkey * 10 + 5 AND s_suppkey * 10 - 5 <= p_partkey + 5""")
+def box_join(s, d):
+    a = T(s, d, "part").select("p_partkey", (F.col("p_size") - 2).alias("ax0"), (F.col("p_size") + 2).alias("ax1"), (F.col("p_partkey") - 5).alias("ay0"), (F.col("p_partkey") + 5).alias("ay1"))
+    b = T(s, d, "supplier").select("s_suppkey", (F.col("s_nationkey") - 3).alias("bx0"), (F.col("s_nationkey") + 3).alias("bx1"), (F.col("s_suppkey") * 10 - 5).alias("by0"), (F.col("s_suppkey") * 10 + 5).alias("by1"))
+    return intervals.box_join(a, b, ("ax0", "ay0", "ax1", "ay1"), ("bx0", "by0", "bx1", "by1"), 16).select("p_partkey", "s_suppkey")
+
+
 # graphs: parts of a brand are linked where their prices are within two units of the next; some edges run from the larger
 # id to the smaller, and by the rule of ordered edges these don't count
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genloom.runtime import materialize
+from genloom.runtime import discard, materialize
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -38,8 +38,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # small-star: every smaller neighbour of u, and u, move to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        cur = materialize(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        last, cur = cur, materialize(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc")
         before, mark = mark, _checksum(cur)
+        discard(last)
         if mark == before:
             break
     stars = cur.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("vertex"), "component")

@@ -334,3 +334,15 @@ def test_dates(spark):
     assert value(spark, dates.weekday(F.lit("2024-01-07").cast("date"))) == 0
     assert value(spark, dates.parse(F.lit("not-a-date-time"), "yyyy-MM-dd")) is None
     assert not value(spark, dates.in_range(F.lit("1399-12-31").cast("date")))
+
+
+def test_intermediate_tables_can_go(spark):
+    import os
+
+    from genloom import runtime
+
+    df = runtime.materialize(spark.range(5), "x")
+    path = df._genloom_path.removeprefix("file://")
+    assert os.path.isdir(path) and df.count() == 5
+    runtime.discard(df)
+    assert not os.path.isdir(path)

@@ -21,13 +21,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genloom.llm import textkernel as tk
 from genloom.runtime import table
 
 #: The pre-split of byte-level vocabularies of this kind; a fixed value.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A cut before white space that follows no white space is also a cut of the pre-split. 0x1C-0x1F are no white space there.
 WORD = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+\Z")
-CACHE = 300_000
+#: A word that is one piece: letters after at most one space.
+PLAIN = re.compile(r" ?[A-Za-z]+").fullmatch
+CACHE = 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -57,8 +60,23 @@ class ForcedBoundaryBpe:
         inside = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
         self.joint = [[bytes((a, b)) in inside for b in range(256)] for a in range(256)]
         self.pieces = regex.compile(PIECES)
-        self.fragments: dict[bytes, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.fast = self._library()
+        self.fragments: dict[bytes, tuple[str, bytes]] = {}
+        self.words: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, tuple[str, bytes]] = {}
+
+    def _library(self):
+        """A compiled merge loop for fragments, where the installed library has one and ids rank as merges do; or None."""
+        try:
+            import tiktoken
+
+            ranks = [self.rank[p][1] for p in self.rank]
+            if ranks != sorted(ranks):
+                return None
+            plain = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=dict(self.ids), special_tokens={})
+            return plain._core_bpe.encode_single_piece
+        except (ImportError, AttributeError, ValueError):
+            return None
 
     def cuts(self, piece: bytes) -> list[bytes]:
         """piece cut at every pair that no token holds."""
@@ -112,45 +130,64 @@ class ForcedBoundaryBpe:
                     heapq.heappush(heap, (r[0], x, ids[x], ids[y], r[1]))
         return tuple(i for i in ids if i is not None)
 
-    def _word(self, word: str) -> tuple[int, str, bytes]:
-        """(number of ids, ids as text, decoded bytes) of a run of white space and what follows it."""
-        out: list[int] = []
-        for piece in self.pieces.findall(word):
-            for f in self.cuts(piece.encode()):
-                got = self.fragments.get(f)
-                if got is None:
-                    got = self._merge(f)
-                    if len(f) <= 32:
-                        if len(self.fragments) >= CACHE:
-                            self.fragments.clear()
-                        self.fragments[f] = got
-                out += got
-        made = (len(out), ",".join(map(str, out)), b"".join(map(self.bytes.__getitem__, out)))
+    def _word(self, word: str) -> tuple[str, bytes]:
+        """(ids as text, decoded bytes) of a run of white space and what follows it.
+
+        Words are cached in two generations: a full young one becomes the old one, from which words in use come back, so
+        that a long run of new words never drops the frequent ones.
+        """
+        made = self.old.get(word)
+        if made is None:
+            texts, raw = [], []
+            for piece in [word] if PLAIN(word) else self.pieces.findall(word):
+                for f in self.cuts(piece.encode()):
+                    got = self.fragments.get(f)
+                    if got is None:
+                        ids = self.fast(f) if self.fast else self._merge(f)
+                        got = (",".join(map(str, ids)), b"".join(map(self.bytes.__getitem__, ids)))
+                        if len(f) <= 16 and len(f) < len(piece):
+                            if len(self.fragments) >= CACHE:
+                                self.fragments.clear()
+                            self.fragments[f] = got
+                    texts.append(got[0])
+                    raw.append(got[1])
+            made = (",".join(texts), b"".join(raw))
         if len(word) <= 64:
             if len(self.words) >= CACHE:
-                self.words.clear()
+                self.old, self.words = self.words, {}
             self.words[word] = made
         return made
 
-    def _parts(self, text: str):
-        known, make = self.words, self._word
+    def _parts(self, text: str) -> tuple[str, bytes]:
+        """(ids as text, decoded bytes)."""
+        parts: list[tuple[str, bytes]] = []
         for k, part in enumerate(self.special_re.split(text) if self.special_re else [text]):
             if k % 2:
                 i = self.special[part]
-                yield (1, str(i), self.bytes[i])
+                parts.append((str(i), self.bytes[i]))
             else:
-                for w in WORD.findall(part):
-                    yield known.get(w) or make(w)
+                words = WORD.findall(part)
+                some = list(map(self.words.get, words))
+                if None in some:
+                    for at, got in enumerate(some):
+                        if got is None:
+                            w = words[at]
+                            some[at] = self.words.get(w) or self._word(w)
+                parts += some
+        if not parts:
+            return "", b""
+        texts, raw = zip(*parts)
+        return ",".join(texts), b"".join(raw)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, hash of the ids joined by commas, hash of the text that decoding them gives)."""
-        parts = list(self._parts(text))
-        ids = ",".join([p[1] for p in parts])
-        back = b"".join([p[2] for p in parts])
-        return sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest()
+        ids, raw = self._parts(text)
+        back = raw.decode("utf-8", "replace").encode()
+        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
 
     def encode(self, text: str) -> list[int]:
-        return list(map(int, ",".join([p[1] for p in self._parts(text)]).split(","))) if text else []
+        ids = self._parts(text)[0]
+        return list(map(int, ids.split(","))) if ids else []
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace")
@@ -183,7 +220,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 same = [m.decode(i) == t for i, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(part, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return tk.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), part, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +241,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 d.append(x[2])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(part, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return tk.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), part, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark, sf_dir):

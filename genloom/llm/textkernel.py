@@ -7,13 +7,17 @@ about SLICE bytes, so memory follows the longest single text and not the batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
+BATCH, _BATCH_KEY = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
 U = np.uint64
 _RNG = np.random.Generator(np.random.Philox(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
@@ -27,6 +31,35 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _pow = [np.ones(1, U), np.ones(1, U)]
 
 
+def released(function):
+    """A partition function that hands freed memory back to the system after every batch: Python workers live on."""
+
+    @functools.wraps(function)
+    def part(batches):
+        for out in function(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+            _trim()
+        _trim()
+
+    return part
+
+
+def map_batches(df, function, schema: str):
+    """df.mapInArrow with small batches: where the session leaves Spark's default, a batch is BATCH bytes, because each
+    running task holds several, on both sides of the pipe and outside the heap."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY) in ("67108864b", "64MB", "64m"):
+        conf.set(_BATCH_KEY, BATCH)
+    return df.mapInArrow(released(function), schema)
+
+
+def _trim() -> None:
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow[0]) < n:
         for i, base in enumerate((_P, _P_INV)):

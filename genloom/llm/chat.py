@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genloom.llm import textkernel as tk
 from genloom.runtime import table
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -172,7 +173,7 @@ def formatted(df: DataFrame, conv_col: str, order_cols: list[str], record: F.Col
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["conv_id", "place", "segment", "loss_start", "loss_end", "layout"])
 
-    return _records(df, conv_col, order_cols, record).mapInArrow(part, "conv_id long, place long, segment string, loss_start long, loss_end long, layout string")
+    return tk.map_batches(_records(df, conv_col, order_cols, record), part, "conv_id long, place long, segment string, loss_start long, loss_end long, layout string")
 
 
 def digests(segments: DataFrame) -> DataFrame:
@@ -207,7 +208,7 @@ def digests(segments: DataFrame) -> DataFrame:
         if state is not None:
             yield batch([done()])
 
-    return segments.mapInArrow(part, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return tk.map_batches(segments, part, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op7_chat_format(spark, sf_dir):
@@ -219,4 +220,14 @@ def op7_chat_format(spark, sf_dir):
 
 
 QUERIES = {"op7_chat_format": op7_chat_format}
-ORACLES: dict = {}
+ORACLES = {
+    "op7_chat_format": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+                   UNION ALL SELECT -1, i, r, '{END}{START}assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(i, r))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+               coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum({len(START) + len(END) + 2} + length(role) + length(t) + len(regexp_extract_all(t, '<\\\\*[|]')))::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id
+    """
+}

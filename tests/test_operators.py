@@ -167,6 +167,16 @@ def test_threshold_equals_definition(spark, ws, q):
     assert [r.threshold for r in got] == ok[:1]
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_threshold_without_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(discovery, "ONE_SORT", most)
+    rng = np.random.default_rng(4)
+    ws = np.concatenate((rng.normal(3, 1, 150), rng.normal(0, 1, 300))).round(3).tolist()
+    got = discovery.discovery_threshold(frame(spark, [(w,) for w in ws], "w double"), [], 0.1).collect()
+    ok = [t for t in sorted({abs(w) for w in ws if w}) if (1 + sum(w <= -t for w in ws)) / max(1, sum(w >= t for w in ws)) <= 0.1]
+    assert [r.threshold for r in got] == ok[:1] != []
+
+
 # graphs
 
 

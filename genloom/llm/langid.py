@@ -216,9 +216,14 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> dict:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE) -> DataFrame:
-    """The labelled rows that training takes: at most so many, by the smallest hash of their id."""
+    """The labelled rows that training takes: at most so many, by the smallest hash of their id.
+
+    The hashes alone decide, so a task sends at most so many numbers to the driver; texts come for the chosen rows only.
+    """
     ok = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= LONGEST)
-    return docs.filter(ok).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).orderBy("h", "text", "lang").limit(rows)
+    able = docs.filter(ok).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    last = able.select("h").orderBy("h").limit(rows).agg(F.max("h").alias("h")).first().h
+    return able.filter(F.col("h") <= F.lit(last if last is not None else 0)).distinct().orderBy("h", "text", "lang").limit(rows)
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
@@ -264,7 +269,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                     moves.append(int(turn[i]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(moves, pa.int64())], ["doc_id", "lang_pred", "score", "n_switches"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(part, "doc_id long, lang_pred string, score double, n_switches long")
+    return tk.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), part, "doc_id long, lang_pred string, score double, n_switches long")
 
 
 def label_words(texts: list[str | None], model: dict) -> list[list[str]]:

@@ -369,3 +369,53 @@ def max_flow(edges: DataFrame, source: int, sink: int) -> DataFrame:
         return pd.DataFrame([(a, b, float(max(0.0, cap[a][b] - left[a][b]))) for a, b in pairs], columns=["src", "dst", "flow"])
 
     return per_component(edges, solve, "src long, dst long, flow double")
+
+
+def edge_colouring(edges: DataFrame) -> DataFrame:
+    """(src, dst, colour): each edge in order of its ends takes the least colour that no edge at either end has."""
+    import pandas as pd
+
+    def colour(rows: pd.DataFrame) -> pd.DataFrame:
+        used: dict[int, set[int]] = {}
+        out = []
+        for a, b in sorted({(min(a, b), max(a, b)) for a, b in zip(rows["src"].tolist(), rows["dst"].tolist()) if a != b}):
+            taken = used.setdefault(a, set()) | used.setdefault(b, set())
+            c = next(c for c in range(len(taken) + 1) if c not in taken)
+            used[a].add(c)
+            used[b].add(c)
+            out.append((a, b, c))
+        return pd.DataFrame(out, columns=["src", "dst", "colour"])
+
+    return per_component(edges, colour, "src long, dst long, colour int")
+
+
+def edge_connectivity(edges: DataFrame) -> DataFrame:
+    """(component, connectivity): the least number of undirected edges whose removal parts a component (Stoer & Wagner)."""
+    import pandas as pd
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        w: dict[int, dict[int, int]] = {}
+        for a, b in {(min(a, b), max(a, b)) for a, b in zip(rows["src"].tolist(), rows["dst"].tolist()) if a != b}:
+            w.setdefault(a, {})[b] = w.setdefault(b, {})[a] = 1
+        best = None
+        while len(w) > 1:
+            start = min(w)
+            seen, order, gain = {start}, [start], dict(w[start])
+            while len(order) < len(w):
+                v = max((x for x in w if x not in seen), key=lambda x: (gain.get(x, 0), -x))
+                seen.add(v)
+                order.append(v)
+                for u, c in w[v].items():
+                    if u not in seen:
+                        gain[u] = gain.get(u, 0) + c
+            s, t = order[-2], order[-1]
+            total = sum(w[t].values())
+            best = total if best is None else min(best, total)
+            for u, c in w.pop(t).items():
+                w[u].pop(t)
+                if u != s:
+                    w[s][u] = w[s].get(u, 0) + c
+                    w[u][s] = w[s][u]
+        return pd.DataFrame({"component": [int(rows["component"].iloc[0])], "connectivity": [best or 0]})
+
+    return per_component(edges, cut, "component long, connectivity int")

@@ -95,11 +95,7 @@ def generate(haplotypes: DataFrame, refs: DataFrame, group_size: int, rho: float
     References' alleles come by a join, so a task holds block haplotypes with their K references and no more. Draws depend
     on seed, chromosome and haplotype only, so results are the same however rows are dealt.
     """
-    alleles = haplotypes.select("chr", "hap_id", unpack("words", "n").alias("alleles"))
-    panel = refs.select("chr", "hap_id", F.posexplode("refs").alias("place", "ref"))
-    panel = panel.join(alleles.select("chr", F.col("hap_id").alias("ref"), F.col("alleles").alias("ra")), ["chr", "ref"])
-    panel = panel.groupBy("chr", "hap_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "ra"))), lambda x: x["ra"]).alias("panel"))
-    rows = alleles.join(panel, ["chr", "hap_id"])
+    rows = panels(haplotypes, refs)
 
     def part(batches):
         for b in batches:
@@ -131,3 +127,43 @@ def marginal_importance(long: DataFrame, phenotype: DataFrame) -> DataFrame:
     """(chr, snp_idx, Knockoff, beta): slope of the phenotype (hap_id, y) on each variant, in one aggregate."""
     df = long.join(phenotype, "hap_id")
     return df.groupBy("chr", "snp_idx", "Knockoff").agg(F.coalesce(F.covar_pop("allele", "y") / F.nullif(F.var_pop("allele"), F.lit(0.0)), F.lit(0.0)).alias("beta"))
+
+
+def log_likelihood(match: np.ndarray, r: np.ndarray, mutation: float) -> np.ndarray:
+    """Log likelihood of each haplotype under the copying model; match is (n, K, p)."""
+    n, k, p = match.shape
+    v, total = np.full((n, k), 1.0 / k), np.zeros(n)
+    for j in range(p):
+        v = (_step(v, r[j]) if j else v) * np.where(match[:, :, j], 1 - mutation, mutation)
+        s = v.sum(axis=1, keepdims=True)
+        total += np.log(s[:, 0])
+        v /= s
+    return total
+
+
+def tune(rows: DataFrame, cm: list[float], rhos: list[float], mutations: list[float]) -> DataFrame:
+    """(chr, rho, mutation, log_likelihood) of a grid, summed over haplotypes; rows are (chr, alleles, panel) as generate()
+    makes them. The row with the largest sum is the fit: .groupBy("chr").agg(max_by(...))."""
+    grid = [(a, b) for a in rhos for b in mutations]
+
+    def part(batches):
+        for b in batches:
+            out = []
+            for (c, _), same in b.groupby(["chr", b["panel"].map(len)]):
+                h = np.stack(same["alleles"].to_list()).astype(np.int64)
+                panel = np.stack([np.stack(list(x)) for x in same["panel"]]).astype(np.int64)
+                match = panel == h[:, None, :]
+                out += [(int(c), a, m, float(log_likelihood(match, switch_probability(np.array(cm), a), m).sum())) for a, m in grid]
+            yield pd.DataFrame(out, columns=["chr", "rho", "mutation", "ll"])
+
+    found = rows.select("chr", "alleles", "panel").mapInPandas(part, "chr int, rho double, mutation double, ll double")
+    return found.groupBy("chr", "rho", "mutation").agg(F.sum("ll").alias("log_likelihood"))
+
+
+def panels(haplotypes: DataFrame, refs: DataFrame) -> DataFrame:
+    """(chr, hap_id, alleles, panel): each haplotype with the alleles of its references, in their order."""
+    alleles = haplotypes.select("chr", "hap_id", unpack("words", "n").alias("alleles"))
+    panel = refs.select("chr", "hap_id", F.posexplode("refs").alias("place", "ref"))
+    panel = panel.join(alleles.select("chr", F.col("hap_id").alias("ref"), F.col("alleles").alias("ra")), ["chr", "ref"])
+    panel = panel.groupBy("chr", "hap_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "ra"))), lambda x: x["ra"]).alias("panel"))
+    return alleles.join(panel, ["chr", "hap_id"])

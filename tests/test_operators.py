@@ -236,6 +236,10 @@ def test_small_component_algorithms(spark):
     assert column(graph.articulation(e), "vertex") == [2]
     colour = {r.vertex: r.colour for r in graph.vertex_colouring(e).collect()}
     assert all(colour[r.src] != colour[r.dst] for r in e.collect())
+    assert {r.component: r.connectivity for r in graph.edge_connectivity(e).collect()} == {0: 1, 5: 1}
+    assert graph.edge_connectivity(edges(spark, list(itertools.combinations(range(5), 2)))).first().connectivity == 4
+    ec = graph.edge_colouring(e).collect()
+    assert all(x.colour != y.colour for x, y in itertools.combinations(ec, 2) if {x.src, x.dst} & {y.src, y.dst})
     flow = frame(spark, [(0, 1, 3.0), (0, 2, 2.0), (1, 2, 1.0), (1, 3, 2.0), (2, 3, 3.0)], "src long, dst long, capacity double")
     out = {(r.src, r.dst): r.flow for r in graph.max_flow(flow, 0, 3).collect()}
     assert out[(0, 1)] + out[(0, 2)] == 5
@@ -285,6 +289,20 @@ def test_generation_does_not_depend_on_partitions(spark, sf):
     assert a == b and any(c != tuple(o) for (_, c), o in zip(a, [r.alleles for r in hmm_knockoffs(spark, sf).orderBy("hap_id").collect()]))
 
 
+def test_tuning_finds_the_planted_rate(spark):
+    rng = np.random.default_rng(2)
+    panel = rng.integers(0, 2, (4, 300))
+    rows = []
+    for _ in range(6):
+        z = np.zeros(300, int)
+        for j in range(1, 300):
+            z[j] = rng.integers(0, 4) if rng.random() < 1 - np.exp(-0.1) else z[j - 1]
+        rows.append((1, panel[z, np.arange(300)].tolist(), panel.tolist()))
+    df = spark.createDataFrame(rows, "chr int, alleles array<int>, panel array<array<int>>")
+    best = knockoffs.tune(df, list(range(300)), [0.001, 0.1, 5.0], [0.001, 0.2]).groupBy("chr").agg(F.max_by(F.struct("rho", "mutation"), "log_likelihood").alias("x")).first().x
+    assert tuple(best) == (0.1, 0.001)
+
+
 def test_references(spark, sf):
     from genloom.plans.structures import kinship_clusters
 

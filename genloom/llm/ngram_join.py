@@ -56,10 +56,16 @@ def document_sets(texts: pa.Array, k: int):
 
 def _sketch(k: int):
     def part(batches):
-        count = np.zeros(WIDTH, np.int64)
+        count, held, n = np.zeros(WIDTH, np.int64), [], 0
         for b in batches:
             for _, data, off in tk.slices(b.column(0)):
-                count += np.bincount((tk.Words(data, off, lower=True).shingles(k)[1] >> tk.U(44)).astype(np.int64), minlength=WIDTH)
+                held.append((tk.Words(data, off, lower=True).shingles(k)[1] >> tk.U(44)).astype(np.int32))
+                n += len(held[-1])
+                if n > WIDTH:
+                    count += np.bincount(np.concatenate(held), minlength=WIDTH)
+                    held, n = [], 0
+        if held:
+            count += np.bincount(np.concatenate(held), minlength=WIDTH)
         if count.any():
             yield _blocks(range(WIDTH // 4096), count.reshape(-1, 4096))
 
@@ -86,7 +92,7 @@ def frequency_classes(texts: DataFrame, k: int) -> np.ndarray:
     Every map task sends WIDTH counters whatever it has read and WIDTH counters come to the driver; they only order
     shingles and never drop any.
     """
-    parts = texts.mapInArrow(_sketch(k), "block int, counts binary").repartition("block").mapInArrow(_summed, "block int, counts binary")
+    parts = tk.map_batches(tk.map_batches(texts, _sketch(k), "block int, counts binary").repartition("block"), _summed, "block int, counts binary")
     count = np.zeros(WIDTH, np.int64)
     for r in parts.toLocalIterator():
         count[r.block * 4096 : r.block * 4096 + 4096] += np.frombuffer(bytes(r.counts), np.int64)
@@ -244,7 +250,7 @@ def _tree_pairs(best: bool):
         def flush():
             fresh, held_back = group(*(np.concatenate(c) for c in zip(*held)))
             fresh = sorted(fresh - seen)
-            if len(seen) < 1_000_000:
+            if len(seen) < 100_000:
                 seen.update(fresh)
             return [(*map(int, p), None) for p in fresh] + [(None, None, gid)] * held_back
 
@@ -279,14 +285,14 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     left = docs.join(mark, docs.doc_id == F.col("a")).select("a", "b", F.col("text").alias("ta"))
     hubs = small_or_not(materialize(pairs.select("b").distinct(), "hubs"))
     right = docs.join(hubs, docs.doc_id == F.col("b"), "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return materialize(left.join(right.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(_verified(k), "a long, b long"), "links")
+    return materialize(tk.map_batches(left.join(right.hint("merge"), "b").select("a", "b", "ta", "tb"), _verified(k), "a long, b long"), "links")
 
 
 def _with_points(pairs: DataFrame, points: DataFrame) -> DataFrame:
     a = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
     b = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
     near = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
-    return pairs.join(a, "a").join(b, "b").filter(near).mapInArrow(_bounded, "a long, b long")
+    return tk.map_batches(pairs.join(a, "a").join(b, "b").filter(near), _bounded, "a long, b long")
 
 
 def _deal(posts: DataFrame, comp: DataFrame, points: DataFrame) -> DataFrame:
@@ -341,7 +347,7 @@ def ngram_components(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     classes = spark.sparkContext.broadcast(frequency_classes(docs.select("text"), k))
-    sig = materialize(docs.mapInArrow(_signatures(k, classes), _SIG), "signatures")
+    sig = materialize(tk.map_batches(docs, _signatures(k, classes), _SIG), "signatures")
     full = sig.filter("n > 0 AND doc_id IS NOT NULL")
     reps = full.groupBy("digest").agg(F.min(F.struct("doc_id", "keys", "parts")).alias("r"))
     posts = reps.select(F.col("r.doc_id").alias("doc"), F.explode(F.arrays_zip("r.keys", "r.parts")).alias("z")).select("doc", F.col("z.keys").alias("key"), F.col("z.parts").alias("part"))
@@ -355,7 +361,7 @@ def ngram_components(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     trees = _deal(posts, comp, points)
     for best in (True, False):
         rows = _tree_rows(trees, comp, points).repartition("g").sortWithinPartitions("g")
-        found = materialize(rows.mapInArrow(_tree_pairs(best), "a long, b long, g string"), "tree-pairs")
+        found = materialize(tk.map_batches(rows, _tree_pairs(best), "a long, b long, g string"), "tree-pairs")
         more = _verify(found.select("a", "b").dropna().distinct(), docs, k)
         if not more.isEmpty():
             links = links.unionByName(more)
@@ -382,4 +388,15 @@ def op1_ngram_jaccard(spark, sf_dir):
 
 
 QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard}
-ORACLES: dict = {}
+ORACLES = {
+    "op1_ngram_jaccard": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(v, w) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.v, u.b FROM r JOIN u ON r.w = u.a)
+        SELECT v AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(w) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.v GROUP BY v
+    """
+}

@@ -43,6 +43,15 @@ def in_zone(ts: Column, zone: str) -> Column:
     return F.from_utc_timestamp(ts, zone)
 
 
+def _since_1970(unit: str, ts: Column) -> Column:
+    return F.timestamp_diff(unit, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
+def to_seconds(ts: Column) -> Column:
+    """Whole seconds since 1970 of a time without a zone, whatever the session's zone is."""
+    return F.floor(_since_1970("MICROSECOND", ts) / 1_000_000)
+
+
 def to_nanos(ts: Column) -> Column:
-    """Nanoseconds since 1970 as bigint; timestamps hold microseconds."""
-    return F.unix_micros(ts) * 1000
+    """Nanoseconds since 1970 of a time without a zone as bigint; times hold microseconds."""
+    return _since_1970("MICROSECOND", ts) * 1000

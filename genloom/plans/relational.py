@@ -300,16 +300,16 @@ def period_overlap(s, d):
     return df.filter(dates.periods_overlap(o, o + F.expr("INTERVAL 60 DAY"), l, l + F.expr("INTERVAL 10 DAY"))).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_orderkey, unnest(generate_series(date_trunc('month', o_orderdate), date_trunc('month', o_orderdate) + INTERVAL 2 MONTH, INTERVAL 1 MONTH)) AS at FROM orders")
+@query("SELECT o_orderkey, CAST(unnest(generate_series(date_trunc('month', o_orderdate), date_trunc('month', o_orderdate) + INTERVAL 2 MONTH, INTERVAL 1 MONTH)) AS DATE) AS at FROM orders")
 def time_iterator(s, d):
-    first = F.date_trunc("month", "o_orderdate")
-    return T(s, d, "orders").select("o_orderkey", F.explode(dates.iterate(first, first + F.expr("INTERVAL 2 MONTH"), "1 MONTH")).alias("at"))
+    first = F.trunc(F.to_date("o_orderdate"), "month")
+    return T(s, d, "orders").select("o_orderkey", F.explode(dates.iterate(first, F.add_months(first, 2), "1 MONTH")).alias("at"))
 
 
 @query("SELECT event_id, epoch_us(ts) * 1000 AS nanos, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def time_resolution(s, d):
     ts = F.col("ts")
-    return T(s, d, "events").select("event_id", dates.to_nanos(ts.cast("timestamp")).alias("nanos"), F.date_format(ts, "yyyy-MM-dd").alias("day"))
+    return T(s, d, "events").select("event_id", dates.to_nanos(ts).alias("nanos"), F.date_format(ts, "yyyy-MM-dd").alias("day"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.' || k) AS v, k FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")

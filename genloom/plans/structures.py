@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from genloom.functions import dates
 from genloom.operators import graph, haplo, intervals, kinship, knockoffs, partition
 from genloom.runtime import table
 
@@ -30,7 +31,7 @@ def _spans(s, d, kind: str | None = None):
     e = T(s, d, "events")
     if kind:
         e = e.filter(F.col("event_type") == kind)
-    start = F.unix_seconds(F.col("ts").cast("timestamp"))
+    start = dates.to_seconds(F.col("ts"))
     return e.select("event_id", "user_id", "value", start.alias("s"), (start + 3600 + F.floor("value") * 60).alias("e"))
 
 
@@ -123,7 +124,7 @@ def multi_resolution_partition(s, d):
    j AS (SELECT p.*, b.s AS bs, b.y AS b_y FROM p ASOF LEFT JOIN k b ON p.user_id = b.user_id AND p.s >= b.s), l AS (SELECT j.*, a.s AS a_s, a.y AS a_y FROM j ASOF LEFT JOIN k a ON j.user_id = a.user_id AND j.s <= a.s)
    SELECT event_id, round(CASE WHEN bs IS NULL THEN a_y WHEN a_s IS NULL OR a_s = bs THEN b_y ELSE b_y + (a_y - b_y) * (s - bs) / (a_s - bs) END, 4) AS y FROM l""")
 def asof_interpolate(s, d):
-    e = T(s, d, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    e = T(s, d, "events").withColumn("s", dates.to_seconds(F.col("ts")))
     knots = e.filter("event_type = 'purchase'").groupBy("user_id", "s").agg(F.avg("value").alias("y"))
     return intervals.interpolate(e.filter("event_type <> 'purchase'").select("user_id", "event_id", "s"), knots, ["user_id"], "s", "y").select("event_id", F.round("y", 4).alias("y"))
 

@@ -219,7 +219,7 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.string()) for c in cols[5:])], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_disguised", "base_sha256", "spans"])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_disguised long, base_sha256 string, spans string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(tk.released(part), schema)
+    return tk.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), part, schema)
 
 
 def op2_pii(spark, sf_dir):

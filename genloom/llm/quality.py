@@ -102,7 +102,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     results and count as one text. An empty table gives no rows. Other columns are not read. Nulls as ids pass through.
     """
     cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col), F.lit("")).alias("host"))
-    base = materialize(cols.mapInArrow(_measured, _SCHEMA), "quality")
+    base = materialize(tk.map_batches(cols, _measured, _SCHEMA), "quality")
     seen = base.select("host", "digest", F.explode("line").alias("h")).groupBy("host", "h").agg(F.count_distinct("digest").alias("n"))
     total = base.groupBy("host").agg(F.count_distinct("digest").alias("texts"))
     common = seen.filter(F.col("n") >= LEAST).join(small_or_not(materialize(total, "hosts")), "host").filter(F.col("n") * 100 >= F.col("texts") * SHARE)

@@ -61,6 +61,8 @@ class ForcedBoundaryBpe:
         self.joint = [[bytes((a, b)) in inside for b in range(256)] for a in range(256)]
         self.pieces = regex.compile(PIECES)
         self.fast = self._library()
+        if self.fast:
+            self.rank = {}  # not needed beside the library's own table
         self.fragments: dict[bytes, tuple[str, bytes]] = {}
         self.words: dict[str, tuple[str, bytes]] = {}
         self.old: dict[str, tuple[str, bytes]] = {}
@@ -189,6 +191,10 @@ class ForcedBoundaryBpe:
         ids = self._parts(text)[0]
         return list(map(int, ids.split(","))) if ids else []
 
+    def forget(self) -> None:
+        """Drops the caches; a worker may live on without encoding more."""
+        self.words, self.old, self.fragments = {}, {}, {}
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace")
 
@@ -219,6 +225,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 ids = [m.encode(t) for t in texts]
                 same = [m.decode(i) == t for i, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+        m.forget()
 
     return tk.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), part, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
@@ -240,6 +247,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 i.append(x[1])
                 d.append(x[2])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        m.forget()
 
     return tk.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), part, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -37,6 +37,8 @@ SPLIT = 100_000
 BLOCK = 2048
 FAMILY, STRONG = 1024, 3
 LEAF = 16
+#: What a search holds at once: so many pairs, and so many coordinates.
+PAIRS, CELLS = 200_000, 1_000_000
 _SIZES = (np.uint8, np.uint16, np.uint32)
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=1, write_checksum=False), zstandard.ZstdDecompressor()
 #: The threshold as a fraction: 75 of 100.
@@ -73,14 +75,14 @@ def _sketch(k: int):
 
 
 def _blocks(at, counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(at), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], ["block", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(list(at), pa.int32()), pa.array([_PACK.compress(c.tobytes()) for c in counts], pa.binary())], ["block", "counts"])
 
 
 def _summed(batches):
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for at, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            c = np.frombuffer(c, np.int64)
+            c = np.frombuffer(_UNPACK.decompress(c), np.int64)
             total[at] = total[at] + c if at in total else c
     if total:
         yield _blocks(total, total.values())
@@ -95,7 +97,7 @@ def frequency_classes(texts: DataFrame, k: int) -> np.ndarray:
     parts = tk.map_batches(tk.map_batches(texts, _sketch(k), "block int, counts binary").repartition("block"), _summed, "block int, counts binary")
     count = np.zeros(WIDTH, np.int64)
     for r in parts.toLocalIterator():
-        count[r.block * 4096 : r.block * 4096 + 4096] += np.frombuffer(bytes(r.counts), np.int64)
+        count[r.block * 4096 : r.block * 4096 + 4096] += np.frombuffer(_UNPACK.decompress(bytes(r.counts)), np.int64)
     mean = count.mean()
     over = np.maximum(0, count - mean)
     return np.where(over > 5 * np.sqrt(mean) + 8, np.ceil(np.log2(over + 1)), 0).astype(np.uint8)
@@ -194,7 +196,8 @@ class RTree:
     def search(self, q: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, point, bound) of every pair whose bound reaches the threshold; q holds the queries' points as rows."""
         found = []
-        step = max(1, 4_000_000 // (q.shape[1] * LEAF))
+        step = max(1, PAIRS // len(self.levels[0][0]))
+        rows = max(1, CELLS // q.shape[1])
         for at in range(0, len(q), step):
             nodes = len(self.levels[-1][0])
             i = np.repeat(np.arange(at, min(len(q), at + step)), nodes)
@@ -204,8 +207,8 @@ class RTree:
                 ok = (DEN * totals[i] >= NUM * lo[j]) & (DEN * hi[j] >= NUM * totals[i])
                 i, j = i[ok], j[ok]
                 bound = np.zeros(len(i), np.int64)
-                for c in range(0, len(i), step * LEAF):
-                    bound[c : c + step * LEAF] = np.minimum(p[j[c : c + step * LEAF]], q[i[c : c + step * LEAF]]).sum(axis=1)
+                for c in range(0, len(i), rows):
+                    bound[c : c + rows] = np.minimum(p[j[c : c + rows]], q[i[c : c + rows]]).sum(axis=1)
                 ok = (DEN + NUM) * bound >= NUM * (totals[i] + lo[j])
                 i, j, bound = i[ok], j[ok], bound[ok]
                 if depth:

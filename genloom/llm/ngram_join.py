@@ -227,7 +227,8 @@ def _tree_pairs(best: bool):
     """
 
     def group(side, doc, comp, n, vec):
-        bits, out, held_back = np.array([v[0] for v in vec]), {}, False
+        bits, out, found = np.array([v[0] for v in vec]), {}, []
+        ids, at = np.unique(doc, return_inverse=True)
         left, right = side != 2, side != 1
         for own in np.unique(bits[left]):
             mine = np.flatnonzero(left & (bits == own))
@@ -244,8 +245,12 @@ def _tree_pairs(best: bool):
                     key = doc[i] if best else pair
                     if key not in out or out[key][0] < w:
                         out[key] = (w, pair)
-                held_back |= bool(ok.sum() > len({*a[ok]})) and best
-        return {p for _, p in out.values()}, held_back
+                if best:
+                    x, y = at[a[ok]], at[b[ok]]
+                    found.append(np.unique(np.maximum(x, y) * len(ids) + np.minimum(x, y)))
+        pairs = {p for _, p in out.values()}
+        # a document keeps one pair over all classes of size, so what is held back shows only after the last of them
+        return pairs, bool(found) and len(np.unique(np.concatenate(found))) > len(pairs)
 
     def part(batches):
         held, gid, seen = [], None, set()

@@ -101,6 +101,23 @@ def test_bound_is_never_below_the_overlap():
         assert np.minimum(ngram_join._point(va, k), ngram_join._point(vb, k)).sum() >= len(np.intersect1d(a, b))
 
 
+def test_first_tree_round_tells_what_it_holds_back():
+    """A chain y-x-z-w over a border of size classes: x's best partner is y and z's is w, which leaves x-z to the second round."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    x = draw(124)
+    y = np.concatenate((x[10:], draw(10)))
+    z = np.concatenate((x[:111], draw(23)))
+    w = np.concatenate((z[:40], z[55:], draw(15)))
+    vec = [ngram_join._vector(np.sort(u)) for u in (x, y, z, w)]
+    assert [v[0] for v in vec] == [7, 7, 8, 8]
+    cols = [pa.array(["t"] * 4), pa.array([0] * 4), pa.array([1, 2, 3, 4]), pa.array([1, 2, 3, 4]), pa.array([124, 124, 134, 134]), pa.array(vec)]
+    rows = pa.RecordBatch.from_arrays(cols, ["g", "side", "doc", "comp", "n", "vec"])
+    out = {best: [tuple(r.values()) for b in ngram_join._tree_pairs(best)([rows]) for r in b.to_pylist()] for best in (True, False)}
+    assert {r[:2] for r in out[False]} == {(2, 1), (3, 1), (4, 3)}
+    assert {r for r in out[True]} == {(2, 1, None), (4, 3, None), (None, None, "t")}
+
+
 def test_ngram_join_odd_rows(odd, none):
     out = ngram_join.ngram_components(odd)
     r = got(out.filter("doc_id IS NOT NULL"))

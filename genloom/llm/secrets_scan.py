@@ -2,7 +2,7 @@
 
 Base patterns give assignments, access keys and long hexadecimal runs. Beyond them a string in a sensitive context (after a
 word such as password, auth or credential and an assigning sign, as a bearer token, inside the user part of an URL, or in
-a key block) is a candidate. Its novelty is its marginal compressed size: the bytes by which a frame grows when the
+a key block, public keys aside) is a candidate: the maximal run, whatever its length, or the whole body of the block. Its novelty is its marginal compressed size: the bytes by which a frame grows when the
 candidate is appended to its surrounding code, under a zstandard dictionary of that surrounding text and of identifiers
 that code commonly uses, over the candidate's length. Words, paths and names repeat something known and compress; keys
 don't, and are reported as kind novel.
@@ -31,7 +31,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run of 16 or more, as [0-9a-f]+
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "signature", "private", "://")
 CONTEXT = re.compile(
     r"""(?:[\w.-]*(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|credentials?|signature|private)\w*["'\]]{0,2}\s{0,3}(?:=>|:=|[:=])\s{0,3}["'`]?"""
-    r"""|bearer\s{1,3}|basic\s{1,3}|://[^\s:/@]{1,64}:)([A-Za-z0-9+/_.=~!$%^&*-]{12,512})""",
+    r"""|bearer\s{1,3}|basic\s{1,3}|://[^\s:/@]{1,64}:)([A-Za-z0-9+/_.=~!$%^&*-]{12,})""",
     re.A | re.I,
 )
 IDENTIFIERS = (

@@ -102,6 +102,20 @@ def test_novelty_tells_keys_from_identifiers():
         assert not secrets_scan.novel_spans(t, secrets_scan.base_spans(t))
 
 
+def random_text(alphabet, n, seed=3):
+    return "".join(np.random.default_rng(seed).choice(list(alphabet), n))
+
+
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+@pytest.mark.parametrize("form", ["Authorization: Bearer {}\nHost: h", "private_key = '{}'\nuse(private_key)"])
+def test_long_secrets_are_covered_whole(form):
+    key = random_text(BASE64, 3000)
+    t = form.format(key)
+    assert secrets_scan.novel_spans(t, secrets_scan.base_spans(t)) == [("novel", t.index(key), t.index(key) + len(key))]
+
+
 # chat
 
 CONTROL = st.text(st.sampled_from(list("<|>\\imstarend_\nab é")), max_size=30)

@@ -34,6 +34,13 @@ CONTEXT = re.compile(
     r"""|bearer\s{1,3}|basic\s{1,3}|://[^\s:/@]{1,64}:)([A-Za-z0-9+/_.=~!$%^&*-]{12,})""",
     re.A | re.I,
 )
+#: The body of a key block: up to its end line or, where that is missing, as long as lines look like base64.
+BLOCK = re.compile(
+    r"""-----BEGIN\x20(?![^\n-]*PUBLIC)[^\n-]*KEY[^\n-]*-----(?:((?:(?!-----BEGIN\x20).)*?)-----END\x20"""
+    r"""|((?:(?:\s|\\[rn])*(?:[\w-]+:\x20[^\n]*|[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/]{1,15}=+|[A-Za-z0-9+/=]+(?=\s*\Z)))*))""",
+    re.A | re.I | re.S,
+)
+_BETWEEN = re.compile(r'''(?:\s|\\[rn]|["'+,]){1,16}''')
 IDENTIFIERS = (
     "import from class def return self public private static final void string int function const let var new this null none true false "
     "config settings environment variable default value example placeholder changeme your_password your_secret_key your_api_key_here "
@@ -69,17 +76,23 @@ def novel_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     if not any(h in low for h in HINTS):
         return []
     out = []
+    for m in BLOCK.finditer(text) if "-----begin " in low else ():
+        a, b = m.span(1 if m[1] is not None else 2)
+        b -= len(text[a:b]) - len(text[a:b].rstrip())
+        a += len(text[a:b]) - len(text[a:b].lstrip())
+        s = _BETWEEN.sub("", text[a:b])
+        if len(s) >= SHORTEST and novelty(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= NOVELTY:
+            out.append(("novel", a, b))
+    blocks = list(out)
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
         b -= len(m[1]) - len(m[1].rstrip(".,;:!"))
         s = text[a:b]
-        if len(s) < SHORTEST or any(x < b and a < y for _, x, y in base):
-            continue
-        if sum(bool(re.search(c, s)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")) < 2:
+        if len(s) < SHORTEST or any(x < b and a < y for _, x, y in base) or any(x < b and a < y for _, x, y in blocks):
             continue
         if novelty(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= NOVELTY:
             out.append(("novel", a, b))
-    return out
+    return sorted(out, key=lambda s: s[1])
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -116,6 +116,22 @@ def test_long_secrets_are_covered_whole(form):
     assert secrets_scan.novel_spans(t, secrets_scan.base_spans(t)) == [("novel", t.index(key), t.index(key) + len(key))]
 
 
+@pytest.mark.parametrize("form", ["-----BEGIN RSA PRIVATE KEY-----\n{}\n-----END RSA PRIVATE KEY-----\nbye", "k\n-----BEGIN OPENSSH PRIVATE KEY-----\n{}", "-----BEGIN PRIVATE KEY-----\n{}\nand so it goes on"])
+def test_key_blocks_are_candidates(form):
+    key = random_text(BASE64, 800)
+    body = "\n".join(key[i : i + 64] for i in range(0, 800, 64))
+    t = form.format(body)
+    assert secrets_scan.novel_spans(t, secrets_scan.base_spans(t)) == [("novel", t.index(body), t.index(body) + len(body))]
+    t = form.replace("PRIVATE", "PUBLIC").replace("RSA ", "").format(body)
+    assert not secrets_scan.novel_spans(t, secrets_scan.base_spans(t))
+
+
+@pytest.mark.parametrize("key", ["qzxwvkjhpmtrgyfb", "840159273645"])
+def test_secrets_of_one_class_are_measured(key):
+    t = f"db_pass = '{key}'\nconnect(db_pass)"
+    assert secrets_scan.novel_spans(t, secrets_scan.base_spans(t)) == [("novel", t.index(key), t.index(key) + len(key))]
+
+
 # chat
 
 CONTROL = st.text(st.sampled_from(list("<|>\\imstarend_\nab é")), max_size=30)

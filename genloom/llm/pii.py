@@ -7,8 +7,8 @@ to a text along with, for every output character, the source span it came from;
 The base patterns run on what they give, and each hit maps back to the source characters it came from. Hits that the base
 patterns have found already, in whole or in part, add nothing; base spans are never changed.
 
-A text is rewritten only around a trigger (a disguise's own characters), WINDOW characters to either side, joined where
-windows meet; triggers are a cheap search, so clean texts cost one scan.
+The transducers run over whole texts. A batch is first searched, by Arrow's regular expressions, for patterns that hold in
+every text which a transducer would rewrite (may_be_rewritten), so clean texts cost one cheap scan and nothing is skipped.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ import re
 import unicodedata
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,6 @@ from genloom.llm.spans import digest, joined
 from genloom.runtime import table
 
 KINDS = ["email", "ip", "card", "phone"]
-WINDOW = 200
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -43,7 +44,6 @@ _ONE = rf"(?:(?:double|triple)[\s-]+)?(?<!\w)(?:{_WORDS})(?!\w)"
 #: At least three digit words in a row, possibly with digits and joining signs among them.
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[\s-]+)?{_ONE}(?:[\s,.()+-]*(?:{_ONE}|[0-9]|plus(?!\w)|(?:dot|point)(?!\w))){{2,}}", re.I)
 SPELLED_PART = re.compile(rf"(?:(double|triple)[\s-]+)?(?<!\w)({_WORDS})(?!\w)|(plus)(?!\w)|(dot|point)(?!\w)", re.I)
-_HINTS = ("zero", "two", "three", "four", "five", "seven", "eight", "nine", "zwei", "drei", "fünf", "sechs", "sieben", "cuatro", "cinco", "siete", "nueve", "trois", "quatre", "cinq", "neuf")
 #: Top-level domains that may end an address whose at is a bare word; those that are common words are left out.
 _TOP = "com|org|net|edu|gov|mil|info|biz|io|co|dev|app|ai|uk|ca|de|fr|es|nl|eu|ch|se|dk|fi|pl|pt|br|mx|jp|cn|ru|au|nz"
 _POINT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+|\.)"
@@ -51,7 +51,17 @@ _POINT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|p
 AT = re.compile(rf"\s*[\[({{<]\s*(?:at|@|arroba|ät)\s*[\])}}>]\s*|\s+(?:at|arroba)\s+(?=[\w-]+(?:{_POINT}[\w-]+)*?{_POINT}(?:{_TOP})(?!\w))|\s*[_-]+at[_-]+\s*", re.I)
 DOT = re.compile(r"\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|(?<=\w)\s+(?:dot|punkt|punto)\s+(?=\w)|(?<=\w)\s*[_-]+dot[_-]+\s*(?=\w)", re.I)
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\x20{1,3}@\x20{0,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\x20{1,3}(?=[A-Za-z0-9])")
-AT_TRIGGER = re.compile(r"[\[({<]\s*(?:at|@|arroba|ät|dot|punkt|punto|\.)\s*[\])}>]|\s(?:dot|punkt|punto)\s|[_-](?:at|dot)[_-]|[A-Za-z0-9]\x20@|@\x20[A-Za-z0-9]", re.I)
+
+
+#: The patterns above without what looks around, for Arrow; its \s is ASCII only.
+_SP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NOT_SP = _SP.replace("[", "[^", 1)
+_JOIN = _SP.replace("]", ",.()+-]") + "*"
+_ITEM = rf"(?:{_WORDS}|[0-9]|plus|dot|point|(?:double|triple)(?:{_SP}|-)+(?:{_WORDS}))"
+_MAY = (
+    rf"[\[({{<]{_SP}*(?:at|@|arroba|ät|dot|punkt|punto|point|\.){_SP}*[\])}}>]|{_SP}(?:dot|punkt|punto){_SP}|[_-](?:at|dot)[_-]"
+    rf"|{_SP}(?:at|arroba){_SP}+{_NOT_SP}+\.(?:{_TOP})|[A-Za-z0-9]\x20{{1,3}}@|@\x20{{1,3}}[A-Za-z0-9]|(?:{_WORDS}){_JOIN}{_ITEM}{_JOIN}{_ITEM}"
+)
 
 
 @cache
@@ -73,18 +83,16 @@ def homoglyphs() -> dict[str, str]:
     return out
 
 
-#: Where a rewritten character may stand: superscripts and everything outside Latin-1, less dashes and general spaces.
-_GLYPH = re.compile("[²³¹\u0100-\u2009\u200b-\u200f\u2016-\U0010ffff]")
-_NEAR = re.compile("[A-Za-z0-9@._+-]")
+@cache
+def _glyph():
+    """Any of the characters that homoglyphs() rewrites."""
+    return re.compile("[" + "".join(homoglyphs()) + "]")
 
 
-def _glyph_triggers(text: str):
-    """Rewritten characters; letters of other alphabets only next to Latin letters, digits or signs of an identifier."""
-    table = homoglyphs()
-    for m in _GLYPH.finditer(text):
-        c, a = m[0], m.start()
-        if c in table and (c not in LOOKALIKE or (a and _NEAR.match(text[a - 1])) or (a + 1 < len(text) and _NEAR.match(text[a + 1]))):
-            yield m.span()
+def may_be_rewritten(texts: pa.Array) -> pa.Array:
+    """False for texts that no transducer rewrites. The dotless and the dotted i are there because re.I takes them for an i."""
+    glyph = pc.match_substring_regex(texts, _glyph().pattern[:-1] + "ıİ]")
+    return pc.fill_null(pc.or_(glyph, pc.match_substring_regex(texts, _MAY, ignore_case=True)), False)
 
 
 class Mapped:
@@ -92,29 +100,37 @@ class Mapped:
 
     def __init__(self, text: str, start=None, end=None):
         self.text = text
-        self.start = range(len(text)) if start is None else start
-        self.end = range(1, len(text) + 1) if end is None else end
+        self.start = np.arange(len(text)) if start is None else start
+        self.end = np.arange(1, len(text) + 1) if end is None else end
 
     def rewrite(self, hits: list[tuple[int, int, str]]) -> Mapped:
         """The text with each (start, end, new) replaced; every new character stands for the whole replaced span."""
         if not hits:
             return self
-        out, start, end, at = [], [], [], 0
-        for a, b, new in [*hits, (len(self.text), len(self.text), "")]:
-            out.append(self.text[at:a])
-            start += self.start[at:a]
-            end += self.end[at:a]
-            out.append(new)
-            if new:
-                start += [self.start[a]] * len(new)
-                end += [self.end[b - 1]] * len(new)
+        out, at = [], 0
+        for a, b, new in hits:
+            out += self.text[at:a], new
             at = b
-        return Mapped("".join(out), start, end)
+        out.append(self.text[at:])
+        first, last = np.array([h[0] for h in hits]), np.array([h[1] for h in hits])
+        size = np.array([len(h[2]) for h in hits])
+        # what stays between hits and what each hit gives, in turn: from which character the start and the end come
+        rest = np.concatenate((first, [len(self.text)])) - np.concatenate(([0], last))
+        n = np.zeros(2 * len(hits) + 1, np.int64)
+        n[0::2], n[1::2] = rest, size
+        lo, hi = np.zeros_like(n), np.zeros_like(n)
+        lo[0::2], lo[1::2] = np.concatenate(([0], last)), first
+        hi[0::2], hi[1::2] = lo[0::2], last - 1
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place[np.repeat(np.arange(len(n)) % 2 == 1, n)] = 0
+        return Mapped("".join(out), self.start[np.repeat(lo, n) + place], self.end[np.repeat(hi, n) + place])
 
 
 def _glyphs(m: Mapped) -> Mapped:
+    if m.text.isascii():
+        return m
     table = homoglyphs()
-    return m.rewrite([(i, i + 1, table[c]) for i, c in enumerate(m.text) if c in table])
+    return m.rewrite([(*h.span(), table[h[0]]) for h in _glyph().finditer(m.text)])
 
 
 def _spelled(m: Mapped) -> Mapped:
@@ -126,7 +142,7 @@ def _spelled(m: Mapped) -> Mapped:
             if hits and at > run.start() and between and not between.strip(" ,\t\n"):
                 hits.append((at, p.start(), ""))  # white space and commas between spelled digits go
             times = {"double": 2, "triple": 3}.get((p[1] or "").lower(), 1)
-            hits.append((*p.span(), "+" if p[3] else "." if p[4] else SPELLED[p[2].lower()] * times))
+            hits.append((*p.span(), "+" if p[3] else "." if p[4] else SPELLED[p[2].lower().replace("ı", "i").replace("i\u0307", "i")] * times))
             at = p.end()
     return m.rewrite(hits)
 
@@ -160,41 +176,17 @@ def detect(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def triggers(text: str) -> list[tuple[int, int]]:
-    """Windows around everything that may be a disguise, merged."""
-    low = text.lower()
-    at = []
-    if not text.isascii():
-        at += _glyph_triggers(text)
-    if any(h in low for h in _HINTS):
-        at += [m.span() for m in SPELLED_RUN.finditer(text)]
-    if "dot" in low or "punkt" in low or "punto" in low or ("@" in low and ("@ " in low or " @" in low)) or any(o + x in low for o in "[({<" if o in low for x in ("at", "@", ".", " at", "arr", "ät")) or "_at_" in low or "-at-" in low:
-        at += [m.span() for m in AT_TRIGGER.finditer(text)]
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((max(0, a - WINDOW), min(len(text), b + WINDOW)) for a, b in at):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """What the patterns find after the transducers, as source spans, less what touches a base span of the same kind."""
+    plain = Mapped(text)
+    m = _at_dot(_spelled(_glyphs(plain)))
+    if m is plain:
+        return []
     out = set()
-    for a, b in triggers(text):
-        while a and text[a - 1].isalnum() and text[a].isalnum():  # whole words only
-            a -= 1
-        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
-            b += 1
-        plain = Mapped(text[a:b])
-        m = _at_dot(_spelled(_glyphs(plain)))
-        if m is plain:
-            continue
-        for kind, x, y in detect(m.text):
-            s, e = a + m.start[x], a + m.end[y - 1]
-            if not any(k == kind and s < q and p < e for k, p, q in base):
-                out.add((kind, s, e))
+    for kind, x, y in detect(m.text):
+        s, e = int(m.start[x]), int(m.end[y - 1])
+        if not any(k == kind and s < q and p < e for k, p, q in base):
+            out.add((kind, s, e))
     return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
 
@@ -209,10 +201,10 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     def part(batches):
         for b in batches:
             cols = [[] for _ in range(7)]
-            for t in b.column(1):
+            for t, may in zip(b.column(1), may_be_rewritten(b.column(1)).to_pylist()):
                 text = t.as_py() or ""
                 base = detect(text)
-                more = disguised(text, base)
+                more = disguised(text, base) if may else []
                 kinds = [s[0] for s in base]
                 for c, x in zip(cols, (*(kinds.count(k) for k in KINDS), len(more), digest(base, KINDS), joined(base + more, KINDS))):
                     c.append(x)

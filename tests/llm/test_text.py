@@ -61,6 +61,30 @@ def test_disguises(text, kind, found):
     assert (kind, text.index(found), text.index(found) + len(found)) in spans
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("write to john at example.com now", "email", "john at example.com"), ("escribe a juan arroba correo.es hoy", "email", "juan arroba correo.es"), ("jane [ат] example.com", "email", "jane [ат] example.com"),
+        ("pay 4111‑1111‑1111‑1111 now", "card", "4111‑1111‑1111‑1111"), ("call +1 555–010–2233 now", "phone", "+1 555–010–2233"), ("mail jo­hn@exam­ple.com now", "email", "jo­hn@exam­ple.com"),
+        ("call plus one six six six one one one six six six six now", "phone", "plus one six six six one one one six six six six"), ("jane  @  example.com", "email", "jane  @  example.com"), ("jane@example [point] com", "email", "jane@example [point] com"),
+    ],
+)
+def test_whatever_is_rewritten_is_looked_at(text, kind, found):
+    for t in (text, "filler " * 100 + text + " filler" * 100):
+        assert (kind, t.index(found), t.index(found) + len(found)) in pii.disguised(t, pii.detect(t))
+
+
+_PIECES = ["a", "X9", " ", "  ", "\u00a0", "\u2003", "\x1c", "@", ".", ",", "-", "_", "(", "]", "<", "[at]", "at", "ÄT", "arroba", "dot", "Punkt", "point", ".com", "five", "FIVE", "fıve", "sİx", "oh", "double", "plus", "7", "é", "–", "\u00ad", "º", "а", "K", "ſ"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES), max_size=12).map("".join))
+def test_scan_for_disguises_misses_none(t):
+    plain = pii.Mapped(t)
+    rewritten = pii._at_dot(pii._spelled(pii._glyphs(plain))) is not plain
+    assert pii.may_be_rewritten(pii.pa.array([t]))[0].as_py() or not rewritten
+
+
 def test_prose_has_no_disguises(spark, sf):
     assert sum(r.n_disguised for r in pii.op2_pii(spark, sf).collect()) == 0
     for t in ("meet me at noon. dot com was a boom", "one two three and four five", "look at the dot in the middle"):

@@ -18,7 +18,12 @@ PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.drop_rejected(docs)
+    """Kept documents without their hosts' boilerplate lines; n_chars, where there is one, is that of the text that stays."""
+    out = quality.cleaned(docs)
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), size).otherwise(F.col("n_chars")))
+    return out
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 Each line with a word is normalised (A-Z lower-cased, words joined by single spaces) and hashed to 64 bits. Within a host
 (the source column) the distinct texts that hold a line are counted; lines above the limit are boilerplate and count as
 removed; a document that loses more than DEPLETED percent of its words is rejected, as is one that fails the base rules.
+quality() gives the counts and drop_rejected() the kept rows as they were; cleaned() gives the kept rows without such lines.
 
 Equal texts count once, so a page that was copied often isn't boilerplate by itself. Counting is an aggregate with
 map-side combine over (host, line, text), so one very common line is a few rows of each task. Lines above a limit of SHARE
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,26 @@ def _per_row(flag: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
+def _worded_lines(data: np.ndarray, off: np.ndarray):
+    """(start, end, row) of the lines that hold a word."""
+    start, end, row = tk.runs(data == 10, off)
+    held = np.concatenate(([0], np.cumsum(~tk._SPACE[data])))
+    ok = held[end] > held[start]
+    return start[ok], end[ok], row[ok]
+
+
+def _line_hashes(data: np.ndarray, word: tk.Words, start: np.ndarray):
+    """(hash, words) of the normalised lines that begin at start: a polynomial over the hashes of their lower-cased words."""
+    n = len(word.start)
+    low = tk.hashes(tk._LOWER[data], word.start, word.end)
+    line_of = np.searchsorted(start, word.start, "right") - 1
+    per_line = np.bincount(line_of, minlength=len(start)) if len(start) else np.zeros(0, np.int64)
+    first = np.concatenate(([0], np.cumsum(per_line)))[:-1]
+    up, down = tk._powers(n + 1)
+    total = np.concatenate((np.zeros(1, tk.U), np.cumsum(low * up[:n], dtype=tk.U)))
+    return tk.mix((total[first + per_line] - total[first]) * down[first] + per_line.astype(tk.U)) if len(start) else np.zeros(0, tk.U), per_line
+
+
 def measure(data: np.ndarray, off: np.ndarray):
     """Base counts of each row of a slice, a hash of each text, and (row, hash, words) of its normalised lines."""
     rows = len(off) - 1
@@ -42,10 +64,7 @@ def measure(data: np.ndarray, off: np.ndarray):
     in_word = ~tk._SPACE[data]
     chars = _per_row(in_word & ((data & 0xC0) != 0x80), off)
     symbols = _per_row(_SYMBOL[data], off)
-    start, end, row = tk.runs(data == 10, off)
-    held = np.concatenate(([0], np.cumsum(in_word)))
-    ok = held[end] > held[start]
-    start, end, row = start[ok], end[ok], row[ok]
+    start, end, row = _worded_lines(data, off)
     raw = tk.hashes(data, start, end)
     order = np.lexsort((raw, row))
     again = np.zeros(len(row), bool)
@@ -64,14 +83,7 @@ def measure(data: np.ndarray, off: np.ndarray):
     for i in range(3):
         cover[full[twice] + i] = True
     repeat = np.bincount(word.row[cover[:n]], minlength=rows)
-    # normalised lines: a polynomial over the hashes of their lower-cased words
-    low = tk.hashes(tk._LOWER[data], word.start, word.end)
-    line_of = np.searchsorted(start, word.start, "right") - 1
-    per_line = np.bincount(line_of, minlength=len(start)) if len(start) else np.zeros(0, np.int64)
-    first = np.concatenate(([0], np.cumsum(per_line)))[:-1]
-    up, down = tk._powers(n + 1)
-    total = np.concatenate((np.zeros(1, tk.U), np.cumsum(low * up[:n], dtype=tk.U)))
-    line = tk.mix((total[first + per_line] - total[first]) * down[first] + per_line.astype(tk.U)) if len(start) else np.zeros(0, tk.U)
+    line, per_line = _line_hashes(data, word, start)
     digest = tk.hashes(data, off[:-1], off[1:])
     return [word.count, chars, symbols, dup, repeat], digest, (row, line, per_line)
 
@@ -95,18 +107,17 @@ def _measured(batches):
         )
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words, base_failed, kept), a row each.
-
-    A null or empty text has no words and fails the base rule; a null host is the host ''. Repeated rows get equal
-    results and count as one text. An empty table gives no rows. Other columns are not read. Nulls as ids pass through.
-    """
+def _counted(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> tuple[DataFrame, DataFrame]:
+    """The measures of each row, and (host, common): the hashes of each host's boilerplate lines."""
     cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col), F.lit("")).alias("host"))
     base = materialize(tk.map_batches(cols, _measured, _SCHEMA), "quality")
     seen = base.select("host", "digest", F.explode("line").alias("h")).groupBy("host", "h").agg(F.count_distinct("digest").alias("n"))
     total = base.groupBy("host").agg(F.count_distinct("digest").alias("texts"))
     common = seen.filter(F.col("n") >= LEAST).join(small_or_not(materialize(total, "hosts")), "host").filter(F.col("n") * 100 >= F.col("texts") * SHARE)
-    common = materialize(common.groupBy("host").agg(F.collect_set("h").alias("common")), "common-lines")
+    return base, materialize(common.groupBy("host").agg(F.collect_set("h").alias("common")), "common-lines")
+
+
+def _judged(base: DataFrame, common: DataFrame) -> DataFrame:
     out = base.join(small_or_not(common), "host", "left")
     lost = F.expr("aggregate(filter(arrays_zip(line, line_words), x -> array_contains(common, x.line)), 0L, (a, x) -> a + x.line_words)")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
@@ -115,10 +126,81 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return out.select(F.col("id").alias("doc_id"), *_COLS, "n_removed_words", failed.alias("base_failed"), kept.alias("kept"))
 
 
+def _kept_rows(docs: DataFrame, judged: DataFrame, id_col: str) -> DataFrame:
+    gone = judged.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(small_or_not(materialize(gone, "rejected")), F.col(id_col) == F.col("__gone"), "left_anti")
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words, base_failed, kept), a row each.
+
+    A null or empty text has no words and fails the base rule; a null host is the host ''. Repeated rows get equal
+    results and count as one text. An empty table gives no rows. Other columns are not read. Nulls as ids pass through.
+    """
+    return _judged(*_counted(docs, id_col, text_col, host_col))
+
+
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of docs whose id has no rejected text, with docs' columns; rows of a null id stay."""
-    gone = quality(docs, id_col, text_col, host_col).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(small_or_not(materialize(gone, "rejected")), F.col(id_col) == F.col("__gone"), "left_anti")
+    return _kept_rows(docs, quality(docs, id_col, text_col, host_col), id_col)
+
+
+def _without(data: np.ndarray, off: np.ndarray, drop) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a slice without the lines (start, end, row), each with the newline that parts it from the next."""
+    start, end, row = drop
+    step = np.zeros(len(data) + 2, np.int64)
+    last = end == off[row + 1]
+    np.add.at(step, start, 1)
+    np.add.at(step, np.where(last, end, end + 1), -1)
+    keep = np.cumsum(step[: len(data)]) == 0
+    for i in np.flatnonzero(last):  # a last line goes with the newline that parts it from the last line kept
+        a = off[row[i]]
+        left = np.flatnonzero(keep[a : start[i]])
+        if len(left):
+            keep[a + left[-1]] = False
+    return data[keep], np.concatenate(([0], np.cumsum(keep)))[off]
+
+
+def _cleaned(text_col: str):
+    def part(batches):
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            texts, common, parts = b.column(at), b.column("__common"), []
+            hot = common.is_valid().to_numpy(zero_copy_only=False)
+            # hashes of each distinct set, by its host
+            sets, host = {}, b.column("__host").to_pylist()
+            for i in np.flatnonzero(hot):
+                if host[i] not in sets:
+                    sets[host[i]] = np.array(common[int(i)].as_py(), np.int64).view(tk.U)
+            for first, data, off in tk.slices(texts):
+                start, end, row = _worded_lines(data, off)
+                h, _ = _line_hashes(data, tk.Words(data, off, lower=False), start)
+                gone = np.zeros(len(row), bool)
+                of = host[first : first + len(off) - 1]
+                for r in np.flatnonzero(hot[first : first + len(off) - 1]):
+                    lo, hi = np.searchsorted(row, (r, r + 1))
+                    gone[lo:hi] = np.isin(h[lo:hi], sets[of[r]])
+                if gone.any():
+                    data, off = _without(data, off, (start[gone], end[gone], row[gone]))
+                parts.append(pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]))
+            clean = pa.concat_arrays(parts) if parts else pa.array([], pa.large_string())
+            clean = pc.if_else(texts.is_valid(), clean, pa.scalar(None, pa.large_string())).cast(texts.type)
+            cols = [clean if i == at else c for i, c in enumerate(b.columns) if b.schema.names[i] not in ("__common", "__host")]
+            yield pa.RecordBatch.from_arrays(cols, [n for n in b.schema.names if n not in ("__common", "__host")])
+
+    return part
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of drop_rejected, their texts without the boilerplate lines that n_removed_words counts.
+
+    A text is what its other lines give, joined by newlines; a null text stays null. Other columns stay as they are.
+    """
+    base, common = _counted(docs, id_col, text_col, host_col)
+    rows = _kept_rows(docs, _judged(base, common), id_col).withColumn("__host", F.coalesce(F.col(host_col), F.lit("")))
+    common = small_or_not(common.select(F.col("host").alias("__of"), F.col("common").alias("__common")))
+    rows = rows.join(common, F.col("__host") == F.col("__of"), "left").drop("__of")
+    return tk.map_batches(rows, _cleaned(text_col), docs.schema)
 
 
 def op5_quality_rules(spark, sf_dir):

@@ -181,6 +181,24 @@ def test_boilerplate_depletes(spark):
     assert all(out[i].kept and out[i].n_removed_words == 13 for i in range(10)) and not out[99].kept and out[99].n_removed_words == 65
 
 
+def test_boilerplate_lines_go(spark, odd, none):
+    line = "Subscribe to our  newsletter"
+    body = lambda i: "\n".join(" ".join(f"u{i}x{j}y{k}é" for j in range(10)) for k in range(6))
+    forms = ["{}\n{b}", "{}\n\n{b}\n{}", "{b}\n{}", "{b}\n{}\n{}", "{b}\n{}\n", "{b}\n\n {} ", "\n{b}"]
+    rows = [(i, forms[i % 7].replace("{b}", body(i)).replace("{}", line if i % 2 else line.lower()), "h", i) for i in range(21)]
+    rows += [(30, rows[0][1], "other", 30), (31, rows[0][1], None, 31), (None, None, "h", 32), (33, "\n".join([line] * 30), "h", 33), (None, f"{line}\n{line}", "h", 34)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3)
+    low = " ".join(line.lower().split())
+    want = {}
+    for i, t, s, n in rows:
+        if i != 33:
+            keep = [x for x in t.split("\n") if s != "h" or " ".join(x.lower().split()) != low] if t is not None else None
+            want[n] = (i, "\n".join(keep) if t is not None else None, s)
+    out = quality.cleaned(df)
+    assert out.schema == df.schema and {r.n: tuple(r)[:3] for r in out.collect()} == want
+    assert quality.cleaned(none).isEmpty() and quality.cleaned(odd).columns == odd.columns
+
+
 def test_line_dedup(spark, sf):
     assert rows_of(line_dedup.op9_line_dedup(spark, sf)) == sql_rows(line_dedup.ORACLES["op9_line_dedup"], sf)
     from pyspark.sql import functions as F

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +29,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     cur = materialize(
         ends.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
     )
-    for _ in range(max_rounds):
+    for n in range(max_rounds + 1):
         if _are_stars(cur):
             break
+        if n == max_rounds:
+            raise ValueError("no stars after max_rounds")
         # large-star: every larger neighbour of u moves to the smallest vertex around u
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -88,16 +92,22 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return reach
 
 
-def breadth_first(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(vertex, level): least number of edges from a root."""
+def _compact(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """rows as one table every 50 rounds, so that a plan doesn't grow with the rounds."""
+    return materialize(rows, name) if n % 50 == 0 else rows
+
+
+def breadth_first(edges: DataFrame, roots: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(vertex, level): least number of edges from a root. Raises where a given max_rounds ends before the frontier does."""
     seen = front = materialize(roots.select("vertex").distinct().withColumn("level", F.lit(0)), "bfs")
-    for level in range(1, max_rounds):
+    for level in itertools.count(1):
         nxt = edges.join(front, edges.src == front.vertex).select(F.col("dst").alias("vertex")).distinct().join(seen, "vertex", "left_anti")
         front = materialize(nxt.withColumn("level", F.lit(level)), "bfs")
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+            return seen
+        if level == max_rounds:
+            raise ValueError("the frontier is not empty after max_rounds")
+        seen = _compact(seen.unionByName(front), level, "bfs")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -124,17 +134,20 @@ def all_pairs(edges: DataFrame) -> DataFrame:
     return shortest_paths(edges, ends)
 
 
-def topological_levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(vertex, level): the most edges on a path to a vertex; ordering by level is a topological order. Raises on a cycle."""
+def topological_levels(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(vertex, level): the most edges on a path to a vertex; ordering by level is a topological order. Raises on a cycle,
+    and where a given max_rounds ends before the levels do."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
     left, out = materialize(edges.select("src", "dst").distinct(), "topo"), None
     todo = materialize(ends, "topo")
-    for level in range(max_rounds):
+    for level in itertools.count():
         free = materialize(todo.join(left.select(F.col("dst").alias("vertex")).distinct(), "vertex", "left_anti"), "topo")
         if free.isEmpty():
             break
+        if level == max_rounds:
+            raise ValueError("levels are left after max_rounds")
         found = free.withColumn("level", F.lit(level))
-        out = found if out is None else out.unionByName(found)
+        out = found if out is None else _compact(out.unionByName(found), level, "topo")
         todo = materialize(todo.join(free, "vertex", "left_anti"), "topo")
         left = materialize(left.join(free, left.src == free.vertex, "left_anti"), "topo")
     if not todo.isEmpty():
@@ -169,17 +182,20 @@ def minimum_spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame
     return (chosen if chosen is not None else e).select("src", "dst", "weight")
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(vertex, component): smallest vertex that each can reach and be reached from.
+def strong_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(vertex, component): smallest vertex that each can reach and be reached from. Raises where a given max_rounds ends
+    before every vertex is settled.
 
     Colours by the smallest vertex that reaches each (forward), then takes those that reach their colour's vertex back;
     what is left goes on, so work falls with every round.
     """
     left = materialize(edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct(), "scc")
     e, out = materialize(edges.select("src", "dst").distinct(), "scc"), None
-    for _ in range(max_rounds):
+    for n in itertools.count():
         if left.isEmpty():
             break
+        if n == max_rounds:
+            raise ValueError("vertices are left after max_rounds")
         colour = left.withColumn("colour", F.col("vertex"))
         while True:
             step = e.join(colour, e.src == colour.vertex).groupBy("dst").agg(F.min("colour").alias("c"))
@@ -196,7 +212,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
                 break
             found = found.unionByName(front)
         found = materialize(found.select("vertex", F.col("colour").alias("component")), "scc")
-        out = found if out is None else out.unionByName(found)
+        out = found if out is None else _compact(out.unionByName(found), n, "scc")
         left = materialize(left.join(found, "vertex", "left_anti"), "scc")
         e = materialize(e.join(left.withColumnRenamed("vertex", "src"), "src", "left_semi").join(left.withColumnRenamed("vertex", "dst"), "dst", "left_semi"), "scc")
     return out if out is not None else left.withColumn("component", F.col("vertex"))

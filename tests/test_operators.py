@@ -1,3 +1,4 @@
+import inspect
 import itertools
 
 import numpy as np
@@ -374,3 +375,18 @@ def test_intermediate_tables_can_go(spark):
     assert os.path.isdir(path) and df.count() == 5
     runtime.discard(df)
     assert not os.path.isdir(path)
+
+
+def test_rounds_never_give_a_partial_result(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(1, 7)], "src long, dst long")
+    root = spark.createDataFrame([(1,)], "vertex long")
+    assert {(r.vertex, r.level) for r in graph.breadth_first(path, root).collect()} == {(i, i - 1) for i in range(1, 8)}
+    assert graph.breadth_first(path, root, 7).count() == 7 and graph.strong_components(path, 7).count() == 7 and graph.topological_levels(path, 7).count() == 7
+    for call in (lambda: graph.breadth_first(path, root, 3), lambda: graph.strong_components(path, 3), lambda: graph.connected_components(path, max_rounds=0)):
+        with pytest.raises(ValueError, match="max_rounds"):
+            call()
+    with pytest.raises(ValueError, match="levels are left"):
+        graph.topological_levels(path, 3)
+    with pytest.raises(ValueError, match="cycle"):
+        graph.topological_levels(path.union(spark.createDataFrame([(7, 1)], path.schema)))
+    assert all(inspect.signature(f).parameters["max_rounds"].default is None for f in (graph.breadth_first, graph.strong_components, graph.topological_levels))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -11,14 +12,24 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast; a larger side is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of a side that may be broadcast, and bytes of its files; a larger side is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 24 << 20
 
 
 _ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
 
+class _Made(threading.local):
+    """Paths of the tables made inside each open scratch block of a thread."""
+
+    def __init__(self):
+        self.blocks: list[list[str]] = []
+
+
+_made = _Made()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers of a session whose environment wouldn't find it; once a session."""
     known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
@@ -39,10 +50,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset in local mode a local one."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="genloom-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
@@ -53,12 +66,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/genloom/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    for block in _made.blocks[-1:]:
+        block.append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._genloom_path = path
     return out
 
 
+class scratch:
+    """Deletes the tables that materialize() makes inside a with block when it ends, all but those given to keep()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def keep(self, *frames: DataFrame) -> None:
+        self.kept.update(f._genloom_path for f in frames)
+
+    def __enter__(self):
+        _made.blocks.append([])
+        return self
+
+    def __exit__(self, *_):
+        made = _made.blocks.pop()
+        for path in made:
+            if path not in self.kept:
+                _delete(self.spark, path)
+        for outer in _made.blocks[-1:]:
+            outer.extend(p for p in made if p in self.kept)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -77,6 +114,8 @@ def cleanup(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/genloom")
 
 
-def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a materialized df for broadcast if it has at most so many rows; otherwise leaves the join to a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a materialized df for broadcast if it has at most so many rows, in files of at most so many bytes; otherwise
+    leaves the join to a shuffle."""
+    on_disk = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if on_disk <= size and df.count() <= rows else df

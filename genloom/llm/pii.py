@@ -4,8 +4,8 @@ Base patterns find e-mail addresses, IPv4 addresses, payment cards and phone num
 transducers rewrite disguises: homoglyphs (look-alike letters, digits of other scripts and widths, invisible characters),
 spelled digits ("five five five", "double two"), and at/dot disguises ("[at]", "(dot)", " at ... dot "). Each maps a text
 to a text along with, for every output character, the source span it came from; their composition keeps source offsets.
-The base patterns run on what they give, and each hit maps back to the source characters it came from. Hits that the base
-patterns have found already, in whole or in part, add nothing; base spans are never changed.
+The base patterns run on what they give, and each hit maps back to the source characters it came from. Hits inside what the
+base patterns have found already add nothing; base spans are never changed.
 
 The transducers run over whole texts. A batch is first searched, by Arrow's regular expressions, for patterns that hold in
 every text which a transducer would rewrite (may_be_rewritten), so clean texts cost one cheap scan and nothing is skipped.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import cache
 
 import numpy as np
@@ -28,9 +29,11 @@ from genloom.llm.spans import digest, joined
 from genloom.runtime import table
 
 KINDS = ["email", "ip", "card", "phone"]
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: The base patterns, in forms whose scan is linear in the text: possessive, and begun at a run's start where a later start
+#: could match no better. An address is found from its at sign, see emails().
+LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]*+"), re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 
@@ -47,9 +50,11 @@ SPELLED_PART = re.compile(rf"(?:(double|triple)[\s-]+)?(?<!\w)({_WORDS})(?!\w)|(
 #: Top-level domains that may end an address whose at is a bare word; those that are common words are left out.
 _TOP = "com|org|net|edu|gov|mil|info|biz|io|co|dev|app|ai|uk|ca|de|fr|es|nl|eu|ch|se|dk|fi|pl|pt|br|mx|jp|cn|ru|au|nz"
 _POINT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+|\.)"
-#: Bracketed or spelled at and dot.
-AT = re.compile(rf"\s*[\[({{<]\s*(?:at|@|arroba|ät)\s*[\])}}>]\s*|\s+(?:at|arroba)\s+(?=[\w-]+(?:{_POINT}[\w-]+)*?{_POINT}(?:{_TOP})(?!\w))|\s*[_-]+at[_-]+\s*", re.I)
-DOT = re.compile(r"\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|(?<=\w)\s+(?:dot|punkt|punto)\s+(?=\w)|(?<=\w)\s*[_-]+dot[_-]+\s*(?=\w)", re.I)
+#: Bracketed or spelled at and dot. Runs of white space and dashes are entered at their start only.
+_GAP = r"(?:(?<!\s)\s+|(?<!\s))"
+_DASH = r"(?:(?<!\s)\s+|(?<![\s_-]))[_-]+"
+AT = re.compile(rf"{_GAP}[\[({{<]\s*(?:at|@|arroba|ät)\s*[\])}}>]\s*|(?<!\s)\s+(?:at|arroba)\s+(?=[\w-]+(?:{_POINT}[\w-]+)*?{_POINT}(?:{_TOP})(?!\w))|{_DASH}at[_-]+\s*", re.I)
+DOT = re.compile(rf"{_GAP}[\[({{<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}}>]\s*|(?<=\w)\s+(?:dot|punkt|punto)\s+(?=\w)|(?<=[^\W_]){_DASH}dot[_-]+\s*(?=\w)", re.I)
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\x20{1,3}@\x20{0,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\x20{1,3}(?=[A-Za-z0-9])")
 
 
@@ -160,9 +165,21 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """The matches of [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+, from each at sign outwards."""
+    out, at, i = [], 0, text.find("@")
+    while i >= 0:
+        start, domain = i - LOCAL.match(text[at:i][::-1]).end(), DOMAIN.match(text, i + 1)
+        if start < i and domain:
+            out.append((start, domain.end()))
+        at = domain.end() if start < i and domain else i + 1
+        i = text.find("@", at)
+    return out
+
+
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base patterns."""
-    out = [("email", *m.span()) for m in EMAIL.finditer(text)] if "@" in text else []
+    out = [("email", *span) for span in emails(text)]
     if not DIGIT.search(text):
         return out
     out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
@@ -177,15 +194,21 @@ def detect(text: str) -> list[tuple[str, int, int]]:
 
 
 def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """What the patterns find after the transducers, as source spans, less what touches a base span of the same kind."""
+    """What the patterns find after the transducers, as source spans, less what lies inside a base span of the same kind; a
+    span that only begins or ends in one stays, since it covers more of the identifier."""
     plain = Mapped(text)
     m = _at_dot(_spelled(_glyphs(plain)))
     if m is plain:
         return []
+    ends = {k: [0] for k in KINDS}
+    starts = {k: [0] for k in KINDS}
+    for k, p, q in base:  # spans of a kind are in order and apart
+        starts[k].append(p)
+        ends[k].append(q)
     out = set()
     for kind, x, y in detect(m.text):
         s, e = int(m.start[x]), int(m.end[y - 1])
-        if not any(k == kind and s < q and p < e for k, p, q in base):
+        if ends[kind][bisect_right(starts[kind], s) - 1] < e:
             out.add((kind, s, e))
     return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 

@@ -1,16 +1,25 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
 Base patterns give assignments, access keys and long hexadecimal runs. Beyond them a string in a sensitive context (after a
-word such as password, auth or credential and an assigning sign, as a bearer token, inside the user part of an URL, or in
-a key block, public keys aside) is a candidate: the maximal run, whatever its length, or the whole body of the block. Its novelty is its marginal compressed size: the bytes by which a frame grows when the
+name that holds a word such as password, auth or credential and an assigning sign, as a bearer token or basic credentials,
+as the password in an URL, or in a key block, public keys aside) is a candidate: the maximal run, whatever its length, or
+the whole body of the block. Its novelty is its marginal compressed size: the bytes by which a frame grows when the
 candidate is appended to its surrounding code, under a zstandard dictionary of that surrounding text and of identifiers
 that code commonly uses, over the candidate's length. Words, paths and names repeat something known and compress; keys
-don't, and are reported as kind novel.
+don't. How far anything can compress depends on its alphabet and length, so the measure is held against that of a random
+string of the same length over the candidate's characters; a candidate that comes near it is reported as kind novel.
+
+Every scan is linear in the text: patterns are anchored at signs and words and look back over one run only.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
+import itertools
+import random
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import zstandard
@@ -22,24 +31,25 @@ from genloom.llm.spans import digest, joined
 from genloom.runtime import table
 
 KINDS = ["assign", "access", "hex", "novel"]
-#: Marginal bytes a character from which a candidate counts as incompressible; characters of context on either side.
-NOVELTY, AROUND, SHORTEST = 0.7, 2048, 12
+#: Share of the novelty of a random string of its kind from which a candidate counts as incompressible; characters of
+#: context on either side; least characters of a candidate.
+NOVELTY, AROUND, SHORTEST = 0.8, 2048, 12
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run of 16 or more, as [0-9a-f]+ with a check of its length
-HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "signature", "private", "://")
-CONTEXT = re.compile(
-    r"""(?:[\w.-]*(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|credentials?|signature|private)\w*["'\]]{0,2}\s{0,3}(?:=>|:=|[:=])\s{0,3}["'`]?"""
-    r"""|bearer\s{1,3}|basic\s{1,3}|://[^\s:/@]{1,64}:)([A-Za-z0-9+/_.=~!$%^&*-]{12,})""",
-    re.A | re.I,
-)
-#: The body of a key block: up to its end line or, where that is missing, as long as lines look like base64.
-BLOCK = re.compile(
-    r"""-----BEGIN\x20(?![^\n-]*PUBLIC)[^\n-]*KEY[^\n-]*-----(?:((?:(?!-----BEGIN\x20).)*?)-----END\x20"""
-    r"""|((?:(?:\s|\\[rn])*(?:[\w-]+:\x20[^\n]*|[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/]{1,15}=+|[A-Za-z0-9+/=]+(?=\s*\Z)))*))""",
-    re.A | re.I | re.S,
-)
+HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "basic", "credential", "signature", "private", "://")
+_RUN = r"[A-Za-z0-9+/_.=~!$%^&*-]"
+#: An assigning sign with a candidate behind it; the name before it is looked at from the sign backwards.
+SIGN = re.compile(rf"(?:=>|:=|[:=])\s{{0,3}}[\"'`]?(?={_RUN}{{12}})", re.A)
+CANDIDATE = re.compile(rf"{_RUN}++", re.A)
+NAME = re.compile(r"\s{0,3}[\"'\]]{0,2}(\w*+)", re.A)
+SENSITIVE = re.compile("pass|pwd|secret|token|key|auth|credential|signature|private", re.A | re.I)
+BEARER = re.compile(rf"\b(?:(bearer)|basic)\s{{1,3}}({_RUN}{{12,}}+)", re.A | re.I)
+LOGIN = re.compile(rf"://[^\s:/@]++:({_RUN}{{12,}}+)@", re.A)
+#: Marks of a key block, and its body's lines where the end mark is missing.
+MARK = re.compile(r"-----(BEGIN|END)\x20([^\n-]*+-----)?", re.A | re.I)
+BODY = re.compile(r"(?:(?:\s|\\[rn])*+(?:[A-Za-z0-9+/=]{16,}+|[A-Za-z0-9+/]{1,15}=++|[\w-]++:\x20[^\n]*+|[A-Za-z0-9+/=]++(?=\s*+\Z)))*+", re.A)
 _BETWEEN = re.compile(r'''(?:\s|\\[rn]|["'+,]){1,16}''')
 IDENTIFIERS = (
     "import from class def return self public private static final void string int function const let var new this null none true false "
@@ -52,13 +62,23 @@ IDENTIFIERS = (
 ).encode()
 
 
-def novelty(before: str, candidate: str, after: str) -> float:
-    """Marginal compressed bytes a character of candidate against its surroundings and the identifier dictionary."""
+def novelty(before: str, candidate: str, after: str) -> tuple[float, float]:
+    """Marginal compressed bytes a character against the surroundings and the identifier dictionary: of the candidate, and
+    of a random string of its length over its characters."""
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + after.encode("utf-8", "replace") + b"\n" + before.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     pack = zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress
     # a probe of the context's end stands before the candidate, so that both frames hold the same overhead
     probe = before[-32:].encode("utf-8", "replace")
-    return (len(pack(probe + candidate.encode())) - len(pack(probe))) / max(1, len(candidate))
+    none, n = len(pack(probe)), max(1, len(candidate))
+    chance = "".join(random.Random(0).choices(sorted(set(candidate)) or [""], k=len(candidate)))
+    return (len(pack(probe + candidate.encode())) - none) / n, (len(pack(probe + chance.encode())) - none) / n
+
+
+def _is_novel(text: str, a: int, b: int, candidate: str) -> bool:
+    if candidate == candidate[0] * len(candidate):  # a string of one character is like any other of them
+        return False
+    got, chance = novelty(text[max(0, a - AROUND) : a], candidate, text[b : b + AROUND])
+    return got >= NOVELTY * chance
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -71,28 +91,64 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def _blocks(text: str):
+    """(start, end) of the bodies of key blocks: up to the next mark if that is an end, else as far as lines look like base64."""
+    marks = list(MARK.finditer(text))
+    for m, nxt in zip(marks, [*marks[1:], None]):
+        head = (m[2] or "").upper()
+        if m[1].upper() == "BEGIN" and "KEY" in head and "PUBLIC" not in head:
+            ends = nxt is not None and nxt[1].upper() == "END"
+            yield m.end(), nxt.start() if ends else BODY.match(text, m.end()).end()
+
+
+def _is_login(s: str) -> bool:
+    """Whether s is base64 of a name, a colon and a password."""
+    try:
+        return b":" in base64.b64decode(s, validate=True)
+    except binascii.Error:
+        return False
+
+
+def _contexts(text: str, low: str):
+    """(start, end) of the candidates outside key blocks."""
+    at = 0
+    while m := SIGN.search(text, at):
+        # the name before the sign, read backwards; what lies between two signs is read once
+        back = NAME.match(text[at : m.start()][::-1])
+        at = m.end()
+        if SENSITIVE.search(back[1][::-1]):
+            at = CANDIDATE.match(text, at).end()
+            yield m.end(), at
+    if "bearer" in low or "basic" in low:
+        yield from (m.span(2) for m in BEARER.finditer(text) if m[1] or _is_login(m[2]))
+    if "://" in text:
+        yield from (m.span(1) for m in LOGIN.finditer(text))
+
+
 def novel_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
-    out = []
-    for m in BLOCK.finditer(text) if "-----begin " in low else ():
-        a, b = m.span(1 if m[1] is not None else 2)
+    out, taken = [], sorted((a, b) for _, a, b in base)
+    for a, b in _blocks(text) if "-----begin " in low else ():
         b -= len(text[a:b]) - len(text[a:b].rstrip())
         a += len(text[a:b]) - len(text[a:b].lstrip())
         s = _BETWEEN.sub("", text[a:b])
-        if len(s) >= SHORTEST and novelty(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= NOVELTY:
+        if len(s) >= SHORTEST and _is_novel(text, a, b, s):
             out.append(("novel", a, b))
-    blocks = list(out)
-    for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        b -= len(m[1]) - len(m[1].rstrip(".,;:!"))
-        s = text[a:b]
-        if len(s) < SHORTEST or any(x < b and a < y for _, x, y in base) or any(x < b and a < y for _, x, y in blocks):
+    taken = sorted([*taken, *((a, b) for _, a, b in out)])
+    first, last = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+    seen = set()
+    for a, b in _contexts(text, low):
+        b = a + len(text[a:b].rstrip(".,;:!"))
+        # what touches a base span or a block is covered already: the last of those that begin before b must end by a
+        i = bisect_left(first, b) - 1
+        if b - a < SHORTEST or (i >= 0 and last[i] > a) or (a, b) in seen:
             continue
-        if novelty(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= NOVELTY:
+        seen.add((a, b))
+        if _is_novel(text, a, b, text[a:b]):
             out.append(("novel", a, b))
-    return sorted(out, key=lambda s: s[1])
+    return sorted(out, key=lambda s: s[1:])
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,14 +1,14 @@
 """Quality rules by cross-document line frequency.
 
 Each line with a word is normalised (A-Z lower-cased, words joined by single spaces) and hashed to 64 bits. Within a host
-(the source column) the distinct texts that hold a line are counted; lines above the limit are boilerplate and count as
+(the source column) the distinct documents that hold a line are counted; lines above the limit are boilerplate and are
 removed; a document that loses more than DEPLETED percent of its words is rejected, as is one that fails the base rules.
 quality() gives the counts and drop_rejected() the kept rows as they were; cleaned() gives the kept rows without such lines.
 
-Equal texts count once, so a page that was copied often isn't boilerplate by itself. Counting is an aggregate with
-map-side combine over (host, line, text), so one very common line is a few rows of each task. Lines above a limit of SHARE
-percent of the host's texts number at most (100 / SHARE) times the host's lines a text, whatever the corpus, so the set
-of a host is a short array, joined back by host.
+A document is its id, or its text where the id is null, so rows repeated in full count once and copies under other ids count
+each. Counting is an aggregate over (host, line, document), so one very common line is spread over all tasks. Lines above a
+limit of SHARE percent of the host's documents number at most (100 / SHARE) times the host's lines a document, whatever the
+corpus, so the set of a host is a short array, joined back by host.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genloom.llm import textkernel as tk
-from genloom.runtime import materialize, small_or_not, table
+from genloom.runtime import materialize, scratch, small_or_not, table
 
-#: A line is boilerplate if at least so many percent of the host's distinct texts hold it, and so many texts.
+#: A line is boilerplate if at least so many percent of the host's documents hold it, and so many documents: a host of a few
+#: documents has no share to speak of.
 SHARE, LEAST = 5, 5
 #: A document is depleted if boilerplate lines hold more than so many percent of its words.
 DEPLETED = 70
@@ -110,16 +111,27 @@ def _measured(batches):
 def _counted(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> tuple[DataFrame, DataFrame]:
     """The measures of each row, and (host, common): the hashes of each host's boilerplate lines."""
     cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col), F.lit("")).alias("host"))
-    base = materialize(tk.map_batches(cols, _measured, _SCHEMA), "quality")
-    seen = base.select("host", "digest", F.explode("line").alias("h")).groupBy("host", "h").agg(F.count_distinct("digest").alias("n"))
-    total = base.groupBy("host").agg(F.count_distinct("digest").alias("texts"))
-    common = seen.filter(F.col("n") >= LEAST).join(small_or_not(materialize(total, "hosts")), "host").filter(F.col("n") * 100 >= F.col("texts") * SHARE)
-    return base, materialize(common.groupBy("host").agg(F.collect_set("h").alias("common")), "common-lines")
+    with scratch(docs.sparkSession) as made:
+        base = materialize(tk.map_batches(cols, _measured, _SCHEMA), "quality")
+        common = materialize(_common(base), "common-lines")
+        made.keep(base, common)
+    return base, common
+
+
+def _common(base: DataFrame) -> DataFrame:
+    """(host, common): the hashes of each host's boilerplate lines."""
+    doc = [F.col("id"), F.when(F.col("id").isNull(), F.col("digest")).alias("text")]
+    # counts in two steps, both with map-side combine: distinct (host, line, document) first
+    seen = base.select("host", *doc, F.explode(F.array_distinct("line")).alias("h")).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    total = base.select("host", *doc).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    common = seen.filter(F.col("n") >= LEAST).join(small_or_not(materialize(total, "hosts")), "host").filter(F.col("n") * 100 >= F.col("docs") * SHARE)
+    return common.groupBy("host").agg(F.collect_set("h").alias("common"))
 
 
 def _judged(base: DataFrame, common: DataFrame) -> DataFrame:
     out = base.join(small_or_not(common), "host", "left")
-    lost = F.expr("aggregate(filter(arrays_zip(line, line_words), x -> array_contains(common, x.line)), 0L, (a, x) -> a + x.line_words)")
+    # the document's lines meet the host's set by hash, once; only those found are looked up line by line
+    lost = F.expr("transform(array(array_intersect(line, common)), hot -> aggregate(filter(arrays_zip(line, line_words), x -> array_contains(hot, x.line)), 0L, (a, x) -> a + x.line_words))[0]")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     out = out.withColumn("n_removed_words", F.coalesce(lost, F.lit(0)).cast("long"))
     kept = ~failed & (F.col("n_removed_words") * 100 <= F.col("n_words") * DEPLETED)
@@ -135,7 +147,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words, base_failed, kept), a row each.
 
     A null or empty text has no words and fails the base rule; a null host is the host ''. Repeated rows get equal
-    results and count as one text. An empty table gives no rows. Other columns are not read. Nulls as ids pass through.
+    results and count as one document. An empty table gives no rows. Other columns are not read. Nulls as ids pass through;
+    each text among them is a document.
     """
     return _judged(*_counted(docs, id_col, text_col, host_col))
 
@@ -210,18 +223,18 @@ def op5_quality_rules(spark, sf_dir):
 #: kept as SQL; {docs} is the relation of documents.
 SQL = """
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host,
-                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM {docs}),
+                      coalesce('i' || doc_id, 't' || coalesce(text, '')) AS doc FROM {docs}),
     w AS (SELECT r, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
     g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
           FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
     rep AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g), range(0, 3) AS t(k)
             WHERE c > 1 GROUP BY r),
-    l AS (SELECT r, host, low, line, norm, len(norm) AS nw FROM (
-            SELECT r, host, low, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS norm
-            FROM (SELECT r, host, t AS low, unnest(string_split(t, chr(10))) AS line FROM d)) WHERE len(norm) > 0),
+    l AS (SELECT r, host, doc, line, norm, len(norm) AS nw FROM (
+            SELECT r, host, doc, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS norm
+            FROM (SELECT r, host, doc, unnest(string_split(t, chr(10))) AS line FROM d)) WHERE len(norm) > 0),
     dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l GROUP BY r),
-    hot AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT low) AS n FROM l GROUP BY 1, 2)
-            JOIN (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY 1) USING (host) WHERE n >= 5 AND n * 100 >= texts * 5),
+    hot AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc) AS n FROM l GROUP BY 1, 2)
+            JOIN (SELECT host, count(DISTINCT doc) AS docs FROM d GROUP BY 1) USING (host) WHERE n >= 5 AND n * 100 >= docs * 5),
     lost AS (SELECT r, sum(nw) AS n FROM l JOIN hot USING (host, norm) GROUP BY r),
     m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
                  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 
 from genloom.llm import textkernel as tk
 from genloom.operators.graph import connected_components
-from genloom.runtime import materialize, small_or_not, table
+from genloom.runtime import materialize, scratch, small_or_not, table
 
 GROUPS, DENSITY = 64, 1
 WIDTH = 1 << 20
@@ -222,14 +222,27 @@ class RTree:
 def _tree_pairs(best: bool):
     """From rows (g, side, doc, comp, n, vec) sorted by g, the pairs of different components that survive the tree of g.
 
-    side 0 is a block joined with itself; 1 and 2 are two blocks. best: for each document only the pair with the largest
-    bound, as a first round that merges what belongs together; a group that held back others gives a row (null, null, g).
+    side 0 is a block joined with itself; 1 and 2 are two blocks. In a block joined with itself the documents of its largest
+    component needn't ask: what could link them to others comes from the others' queries, so a block of near copies and one
+    outlier is one query. best: for each document only the pair with the largest bound, as a first round that merges what
+    belongs together; a group that held back others gives a row (null, null, g).
     """
 
     def group(side, doc, comp, n, vec):
         bits, out, found = np.array([v[0] for v in vec]), {}, []
         ids, at = np.unique(doc, return_inverse=True)
         left, right = side != 2, side != 1
+        if not side.any():
+            names, of, size = np.unique(comp, return_inverse=True, return_counts=True)
+            right = of != size.argmax()
+            # what has no neighbour in size that could link with it stays out
+            order = np.lexsort((doc, n))
+            close = n[order][:-1] * DEN >= n[order][1:] * NUM
+            near = np.zeros(len(n), bool)
+            near[order] = np.concatenate((close, [False])) | np.concatenate(([False], close))
+            left, right = left & near, right & near
+        if len(np.unique(np.concatenate((comp[left], comp[right])))) < 2:
+            return set(), False
         for own in np.unique(bits[left]):
             mine = np.flatnonzero(left & (bits == own))
             for k in (own - 1, own):  # folded for queries with half the groups; as it is for those with as many or more
@@ -309,13 +322,13 @@ def _deal(posts: DataFrame, comp: DataFrame, points: DataFrame) -> DataFrame:
     Documents that share STRONG such keys with a hub chain to families. A family of at most FAMILY documents is one tree, so
     that each of its pairs is looked at once however many keys it shares. A key that several families or a larger one hold
     is a tree of its own, keys with equal members share one, and a key of more than BLOCK documents is dealt as pairs of
-    blocks.
+    blocks, see _block_pairs.
     """
     lab = posts.join(small_or_not(comp), posts.doc == comp.vertex, "left").select("key", "part", "doc", "hub", F.coalesce("component", "doc").alias("comp"))
     h = F.xxhash64("doc")
-    of = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.max("part").alias("parts"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("y"))
+    of = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("y"))
     of = small_or_not(materialize(of.filter("lo < hi").drop("lo", "hi"), "tree-keys"))
-    rows = materialize(posts.join(of, "key").select("key", "doc", "hub", "size", "parts", "x", "y"), "tree-postings")
+    rows = materialize(lab.join(of, "key").select("key", "doc", "hub", "comp", "size", "x", "y"), "tree-postings")
     strong = rows.filter("doc <> hub").groupBy("doc", "hub").agg(F.count(F.lit(1)).alias("keys")).filter(F.col("keys") >= STRONG)
     family = materialize(connected_components(strong, "doc", "hub"), "families")
     large = materialize(family.groupBy("component").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > FAMILY).select("component", F.lit(True).alias("large")), "large-families")
@@ -324,19 +337,36 @@ def _deal(posts: DataFrame, comp: DataFrame, points: DataFrame) -> DataFrame:
     by_key = rows.join(small_or_not(family), rows.doc == family.vertex, "left").withColumn("family", F.coalesce("family", "doc"))
     one = by_key.groupBy("key", "size", "x", "y").agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.bool_or(F.coalesce("large", F.lit(False))).alias("any"))
     one = one.filter("lo < hi OR any").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
-    by_key = rows.join(small_or_not(materialize(one, "distinct-keys")), "key", "left_semi")
-    alone = by_key.filter(F.col("size") <= BLOCK).select(F.col("key").cast("string").alias("g"), F.lit(0).alias("side"), "doc")
-    place = F.row_number().over(W.partitionBy("key").orderBy("doc")) - 1
-    many = by_key.filter(F.col("size") > BLOCK).withColumn("blk", F.floor(place / BLOCK).cast("int")).withColumn("blks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    many = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blks") - 1)))
-    lo, hi = F.least("blk", "o"), F.greatest("blk", "o")
-    many = many.select(F.concat_ws(":", "key", lo, hi).alias("g"), F.when(lo == hi, 0).when(F.col("blk") == lo, 1).otherwise(2).alias("side"), "doc")
-    # a document without a neighbour in size has no partner in its tree
-    alone = few.unionByName(alone).join(points.select(F.col("doc_id").alias("doc"), "n"), "doc")
-    by_size = W.partitionBy("g").orderBy("n", "doc")
-    near = (F.lag("n").over(by_size) * DEN >= F.col("n") * NUM) | (F.col("n") * DEN >= F.lead("n").over(by_size) * NUM)
-    alone = alone.withColumn("near", near).filter("near").select("g", "side", "doc")
-    return materialize(alone.unionByName(many), "trees")
+    by_key = materialize(rows.join(small_or_not(materialize(one, "distinct-keys")), "key", "left_semi").select("key", "doc", "comp", "size"), "key-postings")
+    alone = few.unionByName(by_key.filter(F.col("size") <= BLOCK).select(F.col("key").cast("string").alias("g"), F.lit(0).alias("side"), "doc"))
+    many = by_key.filter(F.col("size") > BLOCK)
+    return materialize(alone if many.isEmpty() else alone.unionByName(_block_pairs(many)), "trees")
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """(g, side, doc) of the pairs of blocks of large keys, from (key, doc, comp, size).
+
+    A component of more than BLOCK documents of a key has blocks of its own, the others share theirs; documents go to blocks
+    by a hash. Blocks of one component never meet, so a key of a million near copies and an outlier is a million rows and a
+    row of the outlier for each of their blocks.
+    """
+    own = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"))
+    own = own.withColumn("big", F.col("members") > BLOCK)
+    block = F.when(F.col("big"), F.col("comp"))
+    sets = own.groupBy("key", block.alias("owner")).agg(F.sum("members").alias("held"))
+    sets = materialize(sets.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")), "block-sets")
+    # a block is (owner, number); owner is null for the shared ones
+    all_ = sets.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.col("owner"), i.alias("b")))).alias("other"))
+    mine = rows.join(small_or_not(materialize(own.filter("big").select("key", "comp", F.lit(True).alias("big")), "big-components")), ["key", "comp"], "left")
+    mine = mine.withColumn("owner", F.when(F.col("big"), F.col("comp")))
+    n = sets.select(F.col("key").alias("k"), F.col("owner").alias("o"), "blocks")
+    mine = mine.join(small_or_not(n), (mine.key == F.col("k")) & mine.owner.eqNullSafe(F.col("o")))
+    mine = mine.select("key", "doc", F.struct("owner", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("b")).alias("own"))
+    pair = mine.join(small_or_not(materialize(all_, "blocks")), "key")
+    pair = pair.filter(F.col("own.owner").isNull() | ~F.col("own.owner").eqNullSafe(F.col("other.owner")))
+    name = lambda c: F.concat_ws("/", F.coalesce(F.col(f"{c}.owner").cast("string"), F.lit("")), F.col(f"{c}.b").cast("string"))
+    a, b = name("own"), name("other")
+    return pair.select(F.concat_ws(":", F.col("key").cast("string"), F.least(a, b), F.greatest(a, b)).alias("g"), F.when(a == b, 0).when(a < b, 1).otherwise(2).alias("side"), "doc")
 
 
 def _tree_rows(trees: DataFrame, comp: DataFrame, points: DataFrame) -> DataFrame:
@@ -352,8 +382,20 @@ def ngram_components(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     shingle; an empty or null text has none, links with nothing and is its own component. Rows repeated in full count
     once; a null id gets a null component and links with nothing. Other columns are not read.
     """
-    spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession) as made:
+        sig, comp, same = _linked(docs, k)
+        made.keep(sig, comp, same)
+    out = sig.select("doc_id", "n", "digest").distinct().join(small_or_not(same), "digest", "left")
+    own = F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("rep"))
+    return out.join(small_or_not(comp), out.rep == F.col("vertex"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+
+
+def _linked(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, components (vertex, component) of the distinct sets' representatives, and (digest, rep) of
+    the sets that several documents have; docs are (doc_id, text)."""
+    spark: SparkSession = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(docs.select("text"), k))
     sig = materialize(tk.map_batches(docs, _signatures(k, classes), _SIG), "signatures")
     full = sig.filter("n > 0 AND doc_id IS NOT NULL")
@@ -379,10 +421,7 @@ def ngram_components(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
             break
         trees = trees.join(small_or_not(materialize(rest, "rest")), "g", "left_semi")
     same = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest", "rep"), "copies")
-    out = sig.select("doc_id", "n", "digest").distinct().join(small_or_not(same), "digest", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("rep"))
-    return out.join(small_or_not(comp), out.rep == F.col("vertex"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return sig, comp, same
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

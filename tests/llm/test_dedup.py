@@ -118,6 +118,66 @@ def test_first_tree_round_tells_what_it_holds_back():
     assert {r for r in out[True]} == {(2, 1, None), (4, 3, None), (None, None, "t")}
 
 
+def windows(line, places):
+    return [" ".join(line[a : a + n + 4]) for a, n in places]
+
+
+def test_hub_with_a_chain_over_a_size_border(spark):
+    """Documents 1-2-3-4 chain over the border at 128 shingles; document 0 links with none and is the hub of what they share."""
+    line = [f"w{i}" for i in range(400)]
+    chain = windows(line, [(40, 120), (51, 120), (60, 134), (72, 134)])
+    docs = [(0, " ".join(line[:330] + [f"x{i}" for i in range(60)])), *enumerate(chain, 1)]
+    want = brute(docs)
+    assert {i: c for i, (_, c) in want.items()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
+    assert got(ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string"))) == want
+
+
+def test_chains_over_all_size_borders(spark, monkeypatch):
+    """Many chains at once, each with a hub of its own, around every border of size classes."""
+    rng, docs = random.Random(11), []
+    for c in range(60):
+        line = [f"c{c}w{i}" for i in range(1400)]
+        size, at, places = rng.choice([60, 120, 245, 500]), 40, []
+        for _ in range(rng.randint(3, 7)):
+            places.append((at, size + rng.randint(0, size // 8)))
+            at += rng.randint(size // 14, size // 6)
+        docs += [(len(docs) + i, t) for i, t in enumerate([" ".join(line[: 2 * size + at] + [f"c{c}x{i}" for i in range(size // 2)]), *windows(line, places)])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute(docs)
+    assert got(ngram_join.ngram_components(df)) == want
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "FAMILY", 2)
+    assert got(ngram_join.ngram_components(df)) == want
+
+
+def test_hot_key_of_one_component_stays_in_proportion(spark, monkeypatch):
+    """Near copies and two outliers under one key: rows into block pairs grow with the rows, not with their square."""
+    rows = [("k", i, 0, 20_003) for i in range(20_000)] + [("k", 20_000 + i, 20_000 + i, 20_003) for i in range(3)]
+    df = spark.createDataFrame([(7, d, c, s) for _, d, c, s in rows], "key long, doc long, comp long, size long")
+    out = ngram_join._block_pairs(df).collect()
+    assert len(out) < 20_000 + 3 * 12 + 10
+    groups = {}
+    for r in out:
+        groups.setdefault(r.g, []).append(r)
+    met = set()
+    for g in groups.values():
+        one, two = [r.doc for r in g if r.side != 2], [r.doc for r in g if r.side != 1]
+        few = [d for d in {*one, *two} if d >= 20_000]
+        met |= {(f, d) for f in few for d in (two if f in one else one) if d != f} | {(f, d) for f in few if f in two for d in one if d != f}
+    assert met >= {(f, d) for f in range(20_000, 20_003) for d in range(20_003) if d != f}
+
+
+def test_no_table_is_left_but_those_of_the_result(spark, sf):
+    import os
+
+    from genloom import runtime
+
+    folder = runtime.shared_dir(spark).removeprefix("file://") + "/genloom"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    ngram_join.op1_ngram_jaccard(spark, sf).count()
+    assert sorted(n.rpartition("-")[0] for n in set(os.listdir(folder)) - before) == ["components", "copies", "signatures"]
+
+
 def test_ngram_join_odd_rows(odd, none):
     out = ngram_join.ngram_components(odd)
     r = got(out.filter("doc_id IS NOT NULL"))

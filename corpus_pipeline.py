@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genloom.llm import bpe, exact_dedup, mixing, ngram_join, quality
-from genloom.runtime import materialize, table
+from genloom.runtime import discard, materialize, scratch, table
 
 #: Percent of the tokens that reach the mix which it may give; each document is taken once at most.
 PERCENT = 80
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's tables go as soon as the next stage's result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as made:
+            last, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            made.keep(docs)
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)

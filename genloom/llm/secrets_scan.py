@@ -19,7 +19,7 @@ import binascii
 import itertools
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -137,13 +137,12 @@ def novel_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         if len(s) >= SHORTEST and _is_novel(text, a, b, s):
             out.append(("novel", a, b))
     taken = sorted([*taken, *((a, b) for _, a, b in out)])
-    first, last = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+    first, furthest = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
     seen = set()
     for a, b in _contexts(text, low):
         b = a + len(text[a:b].rstrip(".,;:!"))
-        # what touches a base span or a block is covered already: the last of those that begin before b must end by a
-        i = bisect_left(first, b) - 1
-        if b - a < SHORTEST or (i >= 0 and last[i] > a) or (a, b) in seen:
+        i = bisect_right(first, a) - 1  # what lies inside a base span or a block is covered already
+        if b - a < SHORTEST or (i >= 0 and furthest[i] >= b) or (a, b) in seen:
             continue
         seen.add((a, b))
         if _is_novel(text, a, b, text[a:b]):

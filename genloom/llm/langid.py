@@ -85,7 +85,9 @@ class Features:
 
 
 def _lower(texts: pa.Array) -> pa.Array:
-    return pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    """Texts in lower case, with a space for what is neither ASCII nor a letter or its mark: dashes, quotation marks, signs."""
+    low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    return pc.replace_substring_regex(low, r"[^\p{L}\p{M}\x00-\x7f]+", " ")
 
 
 def posteriors(emission: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -183,6 +185,8 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> dict:
         chunks.append((ok[:, None] + np.arange(8)) + base)
         words_label = label if not base else np.concatenate((words_label, label))
         base += len(label)
+    if not base:  # no text has a letter
+        return {"langs": names, "weights": np.zeros((1 << BITS, k), np.float32), "trans": np.zeros((k, k))}
     words, slots = np.concatenate(words), np.concatenate(slots)
     order = np.argsort(words, kind="stable")
     words, slots = words[order], slots[order]

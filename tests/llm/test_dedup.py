@@ -269,3 +269,33 @@ def test_line_dedup(spark, sf):
     kept = {r.page_id: r.kept_lines for r in out}
     assert len(out) == 7 and kept[1] == ["one"] and kept[2] == ["two"] and kept[3] == [] and kept[4] == [] and kept[5] == ["menu"]
     assert line_dedup.drop_boilerplate(df.limit(0), "page_id", line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html"))).isEmpty()
+
+
+def test_line_dedup_at_the_ratio_and_on_long_lines(spark):
+    """A line on exactly RATIO of the pages stays, one page more and it goes; a line of megabytes is a line like others."""
+    from pyspark.sql import functions as F
+
+    long = "very long line " * 150_000
+    at, above = 3, 4
+    rows = [(i, "h", [f"own {i}"] + ["tie"] * (i < at) + ["over"] * (i < above) + [long] * (i < above)) for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, site string, l array<string>")
+    out = {r.page_id: r.kept_lines for r in line_dedup.drop_boilerplate(df, "page_id", F.col("site"), F.col("l")).collect()}
+    assert all(out[i] == [f"own {i}"] + ["tie"] * (i < at) for i in range(10))
+    few = spark.createDataFrame(rows[:2], df.schema)  # fewer than LEAST pages hold a line: all stay
+    assert all(len(r.kept_lines) == len(r.lines) for r in line_dedup.drop_boilerplate(few, "page_id", F.col("site"), F.col("l")).collect())
+
+
+def test_quality_counts_documents(spark):
+    """Copies under other ids count each, rows repeated in full once, texts of a null id once each."""
+    line = "this line is on many pages of the host"
+    body = lambda i: "\n".join(" ".join(f"u{i}x{j}y{k}" for j in range(10)) for k in range(6))
+    plain = [(100 + i, body(i), "h") for i in range(40)]
+    copies = [(i, f"{body(99)}\n{line}", "h") for i in range(6)]
+    ddl = "doc_id long, text string, source string"
+    out = {r.doc_id: r for r in quality.quality(spark.createDataFrame(plain + copies, ddl)).collect()}
+    assert all(out[i].n_removed_words == 69 and not out[i].kept for i in range(6))  # six documents of 46 hold each of its lines
+    again = {r.doc_id: r for r in quality.quality(spark.createDataFrame(plain + copies[:1] * 6, ddl)).collect()}
+    assert again[0].n_removed_words == 0 and again[0].kept
+    nameless = [(None, f"{body(50 + i)}\n{line}", "h") for i in range(5)]
+    once = quality.quality(spark.createDataFrame(plain + nameless * 2, ddl)).filter("doc_id IS NULL").collect()
+    assert {r.n_removed_words for r in once} == {9} and len(once) == 10

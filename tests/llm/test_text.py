@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -221,6 +222,41 @@ def test_language_accuracy_on_held_out_rows(spark, model):
     assert np.mean([out[r.doc_id].lang_pred == r.lang for r in held]) > 0.97 and all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_language_query(spark, sf, monkeypatch):
+    """The query: its hold-out, what it trains on, and its accuracy on rows that training never saw."""
+    seen, fit = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda df, *a: (seen.extend(r.doc_id for r in df.collect()), fit(df, *a))[1])
+    out = {r.doc_id: r for r in langid.op6_language_id(spark, sf).collect()}
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()}
+    assert out.keys() == rows.keys()
+    held = {i for i in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert {i for i, r in out.items() if r.held_out} == held and seen and not held & set(seen)
+    langs = {rows[i].lang for i in seen if rows[i].lang}
+    for i, r in out.items():
+        letters = rows[i].text is not None and any(map(str.isalpha, rows[i].text))
+        assert (r.lang_pred in langs) == letters and (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1
+    scored = [i for i in held if rows[i].lang and out[i].lang_pred != "und"]
+    assert len(scored) > 20 and np.mean([out[i].lang_pred == rows[i].lang for i in scored]) > 0.93
+
+
+def test_language_query_on_odd_tables(spark, odd, none, tmp_path):
+    """Nulls in every column, clashing names, an empty table, and labelled rows without a letter."""
+    rows = [(20, "12 34", "en", "s", 5), (21, "!!", "fr", "s", 2), (24, None, "de", "s", None), (25, "ok", None, "s", 2)]
+    for name, df in (("odd", odd), ("none", none), ("bare", spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = langid.op6_language_id(spark, f"{tmp_path}/{name}")
+        assert out.count() == df.count() and {r.held_out for r in out.filter("doc_id IS NULL").collect()} <= {False}
+        assert all(0 <= r.score <= 1 for r in out.collect())
+
+
+def test_signs_are_no_letters():
+    low = langid._lower(pa.array(["“Été” – naïve…", "漢字　ok", None]))
+    for text, want in zip(low.to_pylist(), (["été", "naïve"], ["漢字", "ok"], [])):
+        _, data, off = next(iter(langid.tk.slices(pa.array([text], pa.large_string()))))
+        f = langid.Features(data, off)
+        assert [bytes(data[a:b]).decode() for a, b in zip(f.start, f.end)] == want
+
+
 def test_words_of_switching_text_get_their_language(model):
     m, held = model
     by = {r.lang: r.text.split()[:12] for r in held if len(r.text.split()) > 40}

@@ -160,6 +160,15 @@ def tune(rows: DataFrame, cm: list[float], rhos: list[float], mutations: list[fl
     return found.groupBy("chr", "rho", "mutation").agg(F.sum("ll").alias("log_likelihood"))
 
 
+def write_model(model: DataFrame, path: str) -> None:
+    """A fitted model (chr, snp_idx, rho, mutation), by chromosome."""
+    model.write.mode("overwrite").partitionBy("chr").parquet(path)
+
+
+def read_model(spark, path: str) -> DataFrame:
+    return spark.read.schema("snp_idx long, rho double, mutation double, chr int").parquet(path).select("chr", "snp_idx", "rho", "mutation")
+
+
 def panels(haplotypes: DataFrame, refs: DataFrame) -> DataFrame:
     """(chr, hap_id, alleles, panel): each haplotype with the alleles of its references, in their order."""
     alleles = haplotypes.select("chr", "hap_id", unpack("words", "n").alias("alleles"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from genloom.plans import discovery, relational, structures
+from genloom.plans import discovery, formats, relational, structures
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (discovery, relational, structures):
+for _m in (discovery, relational, structures, formats):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

@@ -1,13 +1,13 @@
 """Python data sources for binary genotype files, "genloom.bed" and "genloom.bgen", and block compression.
 
 A file is split into ranges of variants, one input partition each, so a scan runs on all executors; sample and variant
-lists given as options are applied inside the reader, before any row is made. Paths must be readable where tasks run.
+lists given as options are applied inside the reader, before any row is made. Paths are local or URIs of shared storage.
 """
 
 from __future__ import annotations
 
-import os
 import struct
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -17,6 +17,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from genloom.sources import store
+
 MAGIC = b"\x6c\x1b\x01"
 #: Copies of the first allele by two-bit code; 1 is missing.
 _COPIES = np.array([2, -1, 1, 0], np.int8)
@@ -27,6 +29,7 @@ _CODES = {2: 0, None: 1, 1: 2, 0: 3}
 class Range(InputPartition):
     start: int
     end: int
+    ids: tuple = ()
     offsets: tuple = ()
 
 
@@ -58,22 +61,23 @@ class BedReader(DataSourceReader):
         self.variants, self.samples = _chosen(options, "variants"), _chosen(options, "samples")
 
     def _ids(self, ext: str, field: int) -> list[str]:
-        with open(f"{self.path}.{ext}") as f:
-            return [line.split()[field] for line in f if line.strip()]
+        return [line.split()[field] for line in store.lines(f"{self.path}.{ext}") if line.strip()]
 
     def partitions(self):
-        n = len(self._ids("bim", 1))
-        return [Range(i, min(n, i + self.chunk)) for i in range(0, n, self.chunk)]
+        """A range carries the ids of its variants, so no task reads the others'; ranges without a chosen variant are left out."""
+        ids = self._ids("bim", 1)
+        ranges = [Range(i, min(len(ids), i + self.chunk), tuple(ids[i : i + self.chunk])) for i in range(0, len(ids), self.chunk)]
+        return [r for r in ranges if self.variants is None or not self.variants.isdisjoint(r.ids)] or [Range(0, 0)]
 
     def read(self, part):
-        ids, people = self._ids("bim", 1)[part.start : part.end], self._ids("fam", 1)
+        people = self._ids("fam", 1)
         pick = [i for i, s in enumerate(people) if self.samples is None or s in self.samples]
         width = -(-len(people) // 4)
-        with open(f"{self.path}.bed", "rb") as f:
+        with store.reader(f"{self.path}.bed") as f:
             if f.read(3) != MAGIC:
                 raise ValueError("no variant-major bed file")
             f.seek(3 + part.start * width)
-            for i, snp in enumerate(ids):
+            for i, snp in enumerate(part.ids):
                 raw = np.frombuffer(f.read(width), np.uint8)
                 if self.variants is None or snp in self.variants:
                     codes = (raw[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).ravel()
@@ -85,47 +89,54 @@ class BedReader(DataSourceReader):
 class Written(WriterCommitMessage):
     path: str
     first: int
+    count: int
+    width: int
 
 
-class BedWriter(DataSourceWriter):
-    """Each task writes a piece named by its first variant; the commit joins pieces in order. Input must be range-sorted by
-    snp_idx; path must be a folder that driver and tasks share."""
+class PieceWriter(DataSourceWriter):
+    """Each task writes a piece; the commit joins pieces in order of their first variant. Input must be range-sorted by
+    snp_idx; path must be on storage that driver and tasks share. A task that is run again writes a piece of its own."""
 
     def __init__(self, options):
-        self.path = options["path"]
+        self.path, self.options = options["path"], options
 
-    def write(self, rows):
-        import uuid
+    def pack(self, row) -> bytes:
+        raise NotImplementedError
+
+    def finish(self, pieces: list[Written]) -> None:
+        raise NotImplementedError
 
-        os.makedirs(f"{self.path}.parts", exist_ok=True)
-        name, first = f"{self.path}.parts/{uuid.uuid4().hex}", -1
-        with open(name, "wb") as f:
+    def write(self, rows):
+        name, first, n, width = f"{self.path}.parts/{uuid.uuid4().hex}", -1, 0, 0
+        with store.writer(name) as f:
             for r in rows:
                 first = r.snp_idx if first < 0 else first
-                codes = [_CODES[x] for x in r.dosages]
-                codes += [0] * (-len(codes) % 4)
-                f.write(bytes(codes[i] | codes[i + 1] << 2 | codes[i + 2] << 4 | codes[i + 3] << 6 for i in range(0, len(codes), 4)))
-        return Written(name, first)
+                n, width = n + 1, len(r[-1])
+                f.write(self.pack(r))
+        return Written(name, first, n, width)
 
     def commit(self, messages):
-        import shutil
-
-        with open(f"{self.path}.bed", "wb") as out:
-            out.write(MAGIC)
-            for m in sorted((m for m in messages if m and m.first >= 0), key=lambda m: m.first):
-                with open(m.path, "rb") as f:
-                    shutil.copyfileobj(f, out)
-        shutil.rmtree(f"{self.path}.parts", ignore_errors=True)
+        self.finish(sorted((m for m in messages if m and m.first >= 0), key=lambda m: m.first))
+        store.delete_folder(f"{self.path}.parts")
 
     def abort(self, messages):
-        import shutil
+        store.delete_folder(f"{self.path}.parts")
 
-        shutil.rmtree(f"{self.path}.parts", ignore_errors=True)
+
+class BedWriter(PieceWriter):
+    def pack(self, row):
+        codes = [_CODES[x] for x in row.dosages]
+        codes += [0] * (-len(codes) % 4)
+        return bytes(codes[i] | codes[i + 1] << 2 | codes[i + 2] << 4 | codes[i + 3] << 6 for i in range(0, len(codes), 4))
+
+    def finish(self, pieces):
+        store.joined(f"{self.path}.bed", MAGIC, [m.path for m in pieces])
 
 
 class BgenSource(DataSource):
     """Probabilities (snp_idx, snp_id, chrom, bp, alleles, phased, probs) of layout 2 files: an array of probabilities for
-    each sample, null if missing. Options: path, variants, samples (of the file's sample block), chunk."""
+    each sample, null if missing. Options: path, variants, samples (of the file's sample block), chunk. Writing takes rows
+    of the same schema with options path, samples (comma-joined names), bits (8) and codec ("zlib", "zstd" or "")."""
 
     @classmethod
     def name(cls):
@@ -137,6 +148,9 @@ class BgenSource(DataSource):
     def reader(self, schema):
         return BgenReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return BgenWriter(self.options)
+
 
 def _u(f, n: int) -> int:
     return int.from_bytes(f.read(n), "little")
@@ -170,7 +184,7 @@ class BgenReader(DataSourceReader):
 
     def partitions(self):
         """Variants have no fixed size: the plan walks their heads, skipping the data, to find where each starts."""
-        with open(self.path, "rb") as f:
+        with store.reader(self.path) as f:
             at, m, *_ = self._header(f)
             f.seek(at)
             offsets = []
@@ -178,10 +192,10 @@ class BgenReader(DataSourceReader):
                 offsets.append(f.tell())
                 self._variant(f)
                 f.seek(_u(f, 4), 1)
-        return [Range(i, min(m, i + self.chunk), tuple(offsets[i : i + self.chunk])) for i in range(0, m, self.chunk)]
+        return [Range(i, min(m, i + self.chunk), (), tuple(offsets[i : i + self.chunk])) for i in range(0, m, self.chunk)] or [Range(0, 0)]
 
     def read(self, part):
-        with open(self.path, "rb") as f:
+        with store.reader(self.path) as f:
             _, _, n, packed, names = self._header(f)
             pick = [i for i in range(n) if self.samples is None or (names and names[i] in self.samples)]
             for i, at in enumerate(part.offsets):
@@ -195,6 +209,45 @@ class BgenReader(DataSourceReader):
                 yield part.start + i, rsid, chrom, bp, alleles, *probabilities(data, pick)
 
 
+class BgenWriter(PieceWriter):
+    """Diploid layout 2 blocks; the probability that the others imply is left out, and missing samples have zeros."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.bits, self.codec = int(options.get("bits", 8)), options.get("codec", "zlib")
+
+    def pack(self, row):
+        def text(s, n=2):
+            return len(s.encode()).to_bytes(n, "little") + s.encode()
+
+        head = text("") + text(row.snp_id) + text(row.chrom) + struct.pack("<IH", row.bp, len(row.alleles)) + b"".join(text(a, 4) for a in row.alleles)
+        k, top, stored = len(row.alleles), 2**self.bits - 1, []
+        size = 2 * (k - 1) if row.phased else k * (k + 1) // 2 - 1
+        for p in row.probs:
+            if p is None:
+                stored += [0] * size
+            elif row.phased:
+                stored += [round(x * top) for h in (0, k) for x in p[h : h + k - 1]]
+            else:
+                stored += [round(x * top) for x in p[:-1]]
+        flat = (np.array(stored, np.uint64)[:, None] >> np.arange(self.bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
+        ploidy = bytes(2 | (128 if p is None else 0) for p in row.probs)
+        data = struct.pack("<IHBB", len(row.probs), k, 2, 2) + ploidy + bytes([int(row.phased), self.bits]) + np.packbits(flat.ravel(), bitorder="little").tobytes()
+        if not self.codec:
+            return head + struct.pack("<I", len(data)) + data
+        body = zlib.compress(data) if self.codec == "zlib" else zstandard.ZstdCompressor().compress(data)
+        return head + struct.pack("<II", len(body) + 4, len(data)) + body
+
+    def finish(self, pieces):
+        names = [n.encode() for n in self.options.get("samples", "").split(",") if n]
+        block = struct.pack("<I", len(names)) + b"".join(struct.pack("<H", len(n)) + n for n in names)
+        block = struct.pack("<I", len(block) + 4) + block if names else b""
+        n = max((m.width for m in pieces), default=len(names))
+        flags = {"": 0, "zlib": 1, "zstd": 2}[self.codec] | 2 << 2 | (1 << 31 if names else 0)
+        head = struct.pack("<III4sI", 20, sum(m.count for m in pieces), n, b"bgen", flags)
+        store.joined(self.path, struct.pack("<I", len(head) + len(block)) + head + block, [m.path for m in pieces])
+
+
 def probabilities(data: bytes, pick: list[int]) -> tuple[bool, list]:
     """(phased, probabilities of each picked sample) of a layout 2 block, the implied last probability included."""
     from math import comb
@@ -232,3 +285,13 @@ def compressed(block: Column, codec: str = "zstd", level: int = 3, offset: int =
         return blocks.map(lambda b: None if b is None else bytes(offset) + one(bytes(b)))
 
     return F.pandas_udf(pack, "binary")(block)
+
+
+def decompressed(block: Column, codec: str = "zstd", offset: int = 0) -> Column:
+    """What compressed() packed."""
+
+    def unpack(blocks):
+        one = zlib.decompress if codec == "zlib" else zstandard.ZstdDecompressor().decompress
+        return blocks.map(lambda b: None if b is None else one(bytes(b)[offset:]))
+
+    return F.pandas_udf(unpack, "binary")(block)

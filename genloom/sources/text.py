@@ -15,7 +15,7 @@ def _csv(spark: SparkSession, template: str, schema: str, sep: str = " ", header
 
 def with_chromosome(df: DataFrame, template: str) -> DataFrame:
     """df with chr, the number that the template's range has in each row's file."""
-    return df.withColumn("chr", number_in(template, F.col("_metadata.file_name"))) if "{" in template else df
+    return df.withColumn("chr", number_in(template, F.col("_metadata.file_path"))) if "{" in template else df
 
 
 def read_ids(spark: SparkSession, template: str, names: list[str] | None = None) -> DataFrame:
@@ -92,6 +92,45 @@ def to_haplotypes(variants: DataFrame, chromosome: int) -> DataFrame:
     return rows.select(F.lit(chromosome).alias("chr"), F.col("hap_id").cast("bigint").alias("hap_id"), F.size("alleles").alias("n"), pack("alleles").alias("words"))
 
 
+def write_keys(df: DataFrame, path: str) -> None:
+    """Key files: Chr Variant Position Group Knockoff with a header, from (CHR, SNP, BP, Group, Knockoff)."""
+    names = {"CHR": "Chr", "SNP": "Variant", "BP": "Position", "Group": "Group", "Knockoff": "Knockoff"}
+    write_table(df.select(*[F.col(a).alias(b) for a, b in names.items()]), path)
+
+
+def write_table(df: DataFrame, path: str, sep: str = " ", header: bool = True, compression: str = "none") -> None:
+    """Columns between separators; each file of the folder has its own header."""
+    df.write.mode("overwrite").options(header=header, sep=sep, nullValue=schemas.MISSING, compression=compression).csv(path)
+
+
+def write_ibd(df: DataFrame, path: str) -> None:
+    """Segments with their haplotypes' indices joined by commas."""
+    write_table(df.withColumn("indices", F.array_join(F.transform("indices", lambda x: x.cast("string")), ",")).select("seg_id", "indices", "j_min", "j_max", "bp_min", "bp_max"), path)
+
+
+def write_partition_file(df: DataFrame, path: str) -> None:
+    """A line a variant: its id and its group at each resolution, from the long form (snp_id, res, group_id)."""
+    groups = F.transform(F.array_sort(F.collect_list(F.struct("res", "group_id"))), lambda x: x["group_id"].cast("string"))
+    df.groupBy("snp_id").agg(groups.alias("g")).select(F.concat_ws(" ", "snp_id", F.array_join("g", " ")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_dimacs(edges: DataFrame, path: str) -> None:
+    """e lines; the head with the numbers of vertices and edges is a file of its own."""
+    edges.select(F.concat_ws(" ", F.lit("e"), "src", "dst").alias("value")).write.mode("overwrite").text(path)
+    head = edges.agg(F.concat_ws(" ", F.lit("p edge"), F.greatest(F.max("src"), F.max("dst")), F.count(F.lit(1))).alias("value"))
+    head.write.mode("append").text(path)
+
+
+def write_metis(edges: DataFrame, vertices: int, path: str) -> None:
+    """An adjacency file of an undirected graph on vertices 1 to n, each edge given once: line i has the neighbours of i."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = both.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list("dst")), lambda x: x.cast("string")), " ").alias("value"))
+    spark = edges.sparkSession
+    rows = spark.range(1, vertices + 1).withColumnRenamed("id", "src").join(near, "src", "left").select("src", F.coalesce("value", F.lit("")).alias("value"))
+    head = edges.agg(F.lit(0).cast("long").alias("src"), F.concat_ws(" ", F.lit(vertices), F.count(F.lit(1))).alias("value"))
+    rows.unionByName(head).repartitionByRange("src").sortWithinPartitions("src").select("value").write.mode("overwrite").text(path)
+
+
 def write_list(df: DataFrame, path: str) -> None:
     """Columns separated by spaces, no header."""
     df.write.mode("overwrite").option("header", False).option("sep", " ").option("nullValue", schemas.MISSING).csv(path)

@@ -55,3 +55,33 @@ def to_seconds(ts: Column) -> Column:
 def to_nanos(ts: Column) -> Column:
     """Nanoseconds since 1970 of a time without a zone as bigint; times hold microseconds."""
     return _since_1970("MICROSECOND", ts) * 1000
+
+
+def parse_duration(s: Column) -> Column:
+    """Microseconds of a duration [-]hours:minutes:seconds[.fraction]; null where it doesn't parse."""
+    p = r"^\s*(-?)(\d+):(\d{1,2}):(\d{1,2})(?:\.(\d{1,6})\d*)?\s*$"
+    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(s, p, i), F.lit("")).cast("long"), F.lit(0))
+    fraction = F.rpad(F.regexp_extract(s, p, 5), 6, "0").try_cast("long")
+    total = ((part(2) * 60 + part(3)) * 60 + part(4)) * 1_000_000 + F.coalesce(fraction, F.lit(0))
+    return F.when(s.rlike(p), F.when(F.regexp_extract(s, p, 1) == "-", -total).otherwise(total))
+
+
+def parse_iso(s: Column) -> Column:
+    """A time without a zone from yyyymmddThhmmss or yyyy-mm-dd[ T]hh:mm:ss[.f]; null for others."""
+    plain = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})", "$1-$2-$3 $4:$5:$6")
+    return plain.try_cast("timestamp_ntz")
+
+
+#: The ends of time, which stand for the infinities; a value that is no time is null.
+FIRST, LAST = "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"
+
+
+def parse_special(s: Column) -> Column:
+    """parse_iso with the names of special values: not-a-date-time, +infinity and -infinity."""
+    name = F.lower(F.trim(s))
+    end = lambda v: F.lit(v).cast("timestamp_ntz")
+    return F.when(name == "not-a-date-time", F.lit(None)).when(name.isin("+infinity", "infinity"), end(LAST)).when(name == "-infinity", end(FIRST)).otherwise(parse_iso(s))
+
+
+def is_special(ts: Column) -> Column:
+    return ts.isNull() | ts.isin(*[F.lit(v).cast("timestamp_ntz") for v in (FIRST, LAST)])

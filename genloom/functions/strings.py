@@ -72,3 +72,34 @@ def offsets(s: Column, sizes: list[int]) -> Column:
 
 def iequals(a: Column, b: Column) -> Column:
     return F.lower(a) == F.lower(b)
+
+
+def replace_nth(s: Column, what: str, new: str, n: int) -> Column:
+    """s with its n-th place of what, from 0 or from the end if negative, replaced; s itself where there is none."""
+    import re
+
+    parts = F.split(s, re.escape(what), -1)
+    at = F.lit(n + 1) if n >= 0 else F.size(parts) + n
+    left = F.array_join(F.slice(parts, F.lit(1), F.greatest(at, F.lit(0))), what)
+    right = F.array_join(F.slice(parts, F.greatest(at + 1, F.lit(1)), F.greatest(F.size(parts) - at, F.lit(0))), what)
+    return F.when((at >= 1) & (at < F.size(parts)), F.concat(left, F.lit(new), right)).otherwise(s)
+
+
+def erase_all(s: Column, what: str) -> Column:
+    return F.replace(s, F.lit(what), F.lit(""))
+
+
+def ireplace_all(s: Column, what: str, new: str) -> Column:
+    """Every place of what, in any case, replaced."""
+    import re
+
+    return F.regexp_replace(s, "(?i)" + re.escape(what), new.replace("\\", "\\\\").replace("$", "\\$"))
+
+
+def erase_head(s: Column, n: int) -> Column:
+    return F.substring(s, F.lit(n + 1), F.greatest(F.length(s) - n, F.lit(0)))
+
+
+def is_class(s: Column, name: str) -> Column:
+    """Whether every character is of a class: alnum, alpha, digit, lower, upper, punct, space, xdigit."""
+    return all_of(s, "\\p{" + {"xdigit": "XDigit"}.get(name, name.capitalize()) + "}")

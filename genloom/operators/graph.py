@@ -224,11 +224,18 @@ def flow_cost(edges: DataFrame) -> DataFrame:
 
 
 def make_connected(components: DataFrame) -> DataFrame:
-    """Edges (src, dst) between successive components' smallest vertices, which connect the graph."""
+    """Edges (src, dst) between successive components' smallest vertices, which connect the graph.
+
+    Components are dealt into ranges; each links its own, and the first of a range to the last of the range before, of
+    which there are as few as ranges.
+    """
     from pyspark.sql import Window as W
 
-    roots = components.select("component").distinct()
-    return roots.select(F.lag("component").over(W.orderBy("component")).alias("src"), F.col("component").alias("dst")).filter("src IS NOT NULL")
+    roots = materialize(components.select("component").distinct().repartitionByRange("component").withColumn("r", F.spark_partition_id()), "roots")
+    inside = roots.select("r", F.lag("component").over(W.partitionBy("r").orderBy("component")).alias("src"), F.col("component").alias("dst"))
+    ends = roots.groupBy("r").agg(F.min("component").alias("dst"), F.max("component").alias("last"))
+    across = ends.select("r", F.lag("last").over(W.orderBy("r")).alias("src"), "dst")  # a row a range
+    return inside.unionByName(across).filter("src IS NOT NULL").select("src", "dst")
 
 
 def reconcile(updates: DataFrame, key: str, value: str, version: str) -> DataFrame:
@@ -431,3 +438,135 @@ def edge_connectivity(edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"component": [int(rows["component"].iloc[0])], "connectivity": [best or 0]})
 
     return per_component(edges, cut, "component long, connectivity int")
+
+
+def incremental_components(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """components (vertex, component) with new edges taken in. Edges are read as links between components, so the rounds
+    work on what the new edges touch and the known components are relabelled by one join."""
+    known = components.select(F.col("vertex").alias("v"), F.col("component").alias("c"))
+    e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).dropna()
+    for end, name in (("src", "a"), ("dst", "b")):
+        e = e.join(known, F.col(end) == F.col("v"), "left").withColumn(name, F.coalesce("c", end)).drop("v", "c")
+    e = materialize(e, "new-links")
+    merged = materialize(connected_components(e, "a", "b").select(F.col("vertex").alias("old"), F.col("component").alias("new")), "merged")
+    old = components.join(merged, F.col("component") == F.col("old"), "left").select("vertex", F.coalesce("new", "component").alias("component"))
+    fresh = e.select(F.explode(F.array(F.struct(F.col("src").alias("vertex"), F.col("a").alias("old")), F.struct(F.col("dst").alias("vertex"), F.col("b").alias("old")))).alias("x")).select("x.*").distinct()
+    fresh = fresh.join(components.select("vertex"), "vertex", "left_anti").join(merged, "old").select("vertex", F.col("new").alias("component"))
+    return old.unionByName(fresh)
+
+
+def biconnected(edges: DataFrame) -> DataFrame:
+    """(src, dst, block_src, block_dst): each undirected edge with the least edge of its biconnected component.
+
+    Depth-first low links over an explicit stack of edges, a component at a time.
+    """
+    import pandas as pd
+
+    def find(rows: pd.DataFrame) -> pd.DataFrame:
+        adj = {v: sorted(n) for v, n in _adjacency(rows[rows.src != rows.dst]).items()}
+        order, low, out, held = {}, {}, [], []
+
+        def close(upto):
+            at = held.index(upto)
+            block = [(min(e), max(e)) for e in held[at:]]
+            del held[at:]
+            out.extend((*e, *min(block)) for e in block)
+
+        for root in sorted(adj):
+            if root in order:
+                continue
+            order[root] = low[root] = len(order)
+            stack = [(root, None, iter(adj[root]))]
+            while stack:
+                v, up, it = stack[-1]
+                w = next(it, None)
+                if w is None:
+                    stack.pop()
+                    if up is not None:
+                        low[up] = min(low[up], low[v])
+                        if low[v] >= order[up]:
+                            close((up, v))
+                elif w not in order:
+                    held.append((v, w))
+                    order[w] = low[w] = len(order)
+                    stack.append((w, v, iter(adj[w])))
+                elif w != up and order[w] < order[v]:
+                    held.append((v, w))
+                    low[v] = min(low[v], order[w])
+        return pd.DataFrame(out, columns=["src", "dst", "block_src", "block_dst"])
+
+    return per_component(edges, find, "src long, dst long, block_src long, block_dst long")
+
+
+def simple_cycles(edges: DataFrame, longest: int) -> DataFrame:
+    """(cycle): the simple directed cycles of at most so many edges, each as an array that begins with its smallest vertex.
+
+    Paths grow by one edge a round from their smallest vertex; their number may be exponential in longest.
+    """
+    e = materialize(edges.select("src", "dst").distinct(), "cycles")
+    paths, out = e.filter("src <> dst AND dst > src").select(F.array("src", "dst").alias("p")), e.filter("src = dst").select(F.array("src").alias("cycle"))
+    for n in range(2, longest + 1):
+        paths = materialize(paths, "paths")
+        step = paths.join(e, F.element_at("p", -1) == F.col("src"))
+        out = out.unionByName(step.filter(F.col("dst") == F.col("p")[0]).select(F.col("p").alias("cycle")))
+        paths = step.filter((F.col("dst") > F.col("p")[0]) & ~F.array_contains("p", F.col("dst"))).select(F.concat("p", F.array("dst")).alias("p"))
+        if n < longest and paths.isEmpty():
+            break
+    return out
+
+
+def min_cost_flow(edges: DataFrame, source: int, sink: int) -> DataFrame:
+    """(src, dst, flow) of a maximum flow of least cost, from edges with capacity and weight, by shortest augmenting paths;
+    for graphs of one component's size. There may be no cycle of negative weight."""
+    import pandas as pd
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        ends, cap, cost = [], [], []
+        for a, b, c, w in zip(rows["src"].tolist(), rows["dst"].tolist(), rows["capacity"].tolist(), rows["weight"].tolist()):
+            ends += [(a, b), (b, a)]
+            cap += [float(c), 0.0]
+            cost += [float(w), -float(w)]
+        while True:
+            far, came = {source: 0.0}, {}
+            for _ in range(len({v for e in ends for v in e})):
+                moved = False
+                for i, (a, b) in enumerate(ends):
+                    if cap[i] > 0 and a in far and far[a] + cost[i] < far.get(b, float("inf")) - 1e-9:
+                        far[b], came[b], moved = far[a] + cost[i], i, True
+                if not moved:
+                    break
+            if sink not in far or sink == source:
+                break
+            path, v = [], sink
+            while v != source:
+                path.append(came[v])
+                v = ends[came[v]][0]
+            push = min(cap[i] for i in path)
+            for i in path:
+                cap[i] -= push
+                cap[i ^ 1] += push
+        return pd.DataFrame([(*ends[i], cap[i + 1]) for i in range(0, len(ends), 2)], columns=["src", "dst", "flow"])
+
+    return per_component(edges, solve, "src long, dst long, flow double")
+
+
+def lookup(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The edges between the given pairs (src, dst)."""
+    return edges.join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+
+
+def without_edges(edges: DataFrame, pred) -> DataFrame:
+    """Edges less those that pred holds for; edges of which it says nothing stay."""
+    return edges.filter(~F.coalesce(pred, F.lit(False)))
+
+
+def offsets(edges: DataFrame) -> DataFrame:
+    """Compressed rows: (vertex, targets), the sorted targets of every vertex that has any."""
+    return edges.groupBy(F.col("src").alias("vertex")).agg(F.array_sort(F.collect_list("dst")).alias("targets"))
+
+
+def circle_layout(vertices: DataFrame, vertex: str, radius: float) -> DataFrame:
+    """(vertex, x, y): vertices in order of their ids on a circle; ids must number 0 to n - 1."""
+    n = vertices.agg(F.count(F.lit(1)).alias("n"))
+    angle = F.lit(2 * 3.141592653589793) * F.col(vertex) / F.col("n")
+    return vertices.crossJoin(F.broadcast(n)).select(F.col(vertex).alias("vertex"), (F.cos(angle) * radius).alias("x"), (F.sin(angle) * radius).alias("y"))  # n is one row

@@ -128,18 +128,29 @@ def set_algebra(a: DataFrame, b: DataFrame, keys: list[str], start: str, end: st
 
 
 def combine(df: DataFrame, keys: list[str], start: str, end: str, style: str) -> DataFrame:
-    """Half-open spans combined: joining merges what touches, separating only what overlaps, splitting cuts at every border."""
+    """Half-open spans combined: joining merges what touches, separating only what overlaps, splitting cuts at every border,
+    elemental gives each position a span of its own."""
+    if style == "elemental":
+        whole = gap_islands(df, keys, start, end).filter(F.col("start") < F.col("end"))  # merged first, so no position comes twice
+        at = whole.select(*keys, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("start"))
+        return at.withColumn("end", F.col("start") + 1)
     if style == "splitting":
         return sweep({"a": df}, keys, start, end).filter("n_a > 0").select(*keys, "start", "end")
     return gap_islands(df, keys, start, end, touching=style == "joining").select(*keys, "start", "end")
 
 
 def clump(df: DataFrame, keys: list[str], position: str, score: str, reach: int) -> DataFrame:
-    """Greedy clumps of each key: the smallest score leads and takes all free rows within reach, and so on; a lead column."""
+    """Greedy clumps of each key: the smallest score leads and takes all free rows within reach, and so on; a lead column.
+
+    Rows that no gap above reach parts form an island, and no clump crosses such a gap, so islands are worked on apart.
+    """
     schema = df.withColumn("lead", F.col(position).cast("long")).schema
+    by = W.partitionBy(*keys).orderBy(position)
+    apart = F.coalesce((F.col(position) - F.lag(position).over(by) > reach).cast("long"), F.lit(0))
+    dealt = df.withColumn("__new", apart).withColumn("__island", F.sum("__new").over(by.rangeBetween(W.unboundedPreceding, W.currentRow))).drop("__new")
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, position], kind="stable")
+        rows = rows.drop(columns="__island").sort_values([score, position], kind="stable")
         pos = rows[position].to_numpy()
         lead = [None] * len(rows)
         order = pos.argsort(kind="stable")
@@ -152,7 +163,12 @@ def clump(df: DataFrame, keys: list[str], position: str, score: str, reach: int)
                         lead[j] = int(pos[i])
         return rows.assign(lead=lead)
 
-    return df.groupBy(*keys).applyInPandas(greedy, schema)
+    return dealt.groupBy(*keys, "__island").applyInPandas(greedy, schema)
+
+
+def in_order(a: Column, b: Column) -> Column:
+    """Whether segment a comes before b (structs of j_min, j_max, indices): by start, then end, then indices."""
+    return F.struct(a["j_min"], a["j_max"], a["indices"]) < F.struct(b["j_min"], b["j_max"], b["indices"])
 
 
 def interpolate(points: DataFrame, knots: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:

@@ -115,3 +115,44 @@ def combined(a: DataFrame, b: DataFrame, keys: list[str], order_a: list[str], or
 def irange(spark, first: int, last: int, step: int = 1) -> DataFrame:
     """first, first + step, ... before last."""
     return spark.range(first, last, step)
+
+
+def chained(items: Column, start: int, end: int, step: int, function) -> Column:
+    """An array sliced from start to end - 1, then every step-th of it, then function of each."""
+    some = F.slice(items, start + 1, end - start)
+    return F.transform(F.filter(some, lambda x, i: i % step == 0), function)
+
+
+def indirected(df: DataFrame, reference: str, target: DataFrame, key: str) -> DataFrame:
+    """Rows of df with what their reference points to; a reference to nothing gives nulls."""
+    return df.join(target.withColumnRenamed(key, "__key"), F.col(reference) == F.col("__key"), "left").drop("__key")
+
+
+def swapped(a: Column, b: Column, start: int, size: int) -> tuple[Column, Column]:
+    """Two arrays with their elements start to start + size - 1 exchanged."""
+
+    def put(x, y):
+        return F.concat(F.slice(x, 1, start), F.slice(y, start + 1, size), F.slice(x, F.lit(start + size + 1), F.greatest(F.size(x) - start - size, F.lit(0))))
+
+    return put(a, b), put(b, a)
+
+
+def gathered(items: Column, pivot: int, pred) -> Column:
+    """An array with the elements that meet pred gathered around place pivot; both kinds keep their order."""
+    left, right = F.slice(items, 1, pivot), F.slice(items, F.lit(pivot + 1), F.greatest(F.size(items) - pivot, F.lit(0)))
+    other = lambda x: ~pred(x)
+    return F.concat(F.filter(left, other), F.filter(left, pred), F.filter(right, pred), F.filter(right, other))
+
+
+def next_permutation(items: Column) -> Column:
+    """The next order of an array's elements; the last one is followed by the sorted one."""
+    at = F.array_max(F.transform(F.filter(F.sequence(F.lit(1), F.size(items) - 1), lambda i: F.get(items, i - 1) < F.get(items, i)), lambda i: i))
+
+    def turned(i):
+        tail = F.slice(items, i + 1, F.size(items) - i)
+        old = F.element_at(items, i)
+        new = F.array_min(F.filter(tail, lambda x: x > old))
+        rest = F.concat(F.array_remove(tail, new), F.array_repeat(new, F.size(F.filter(tail, lambda x: x == new)) - 1), F.array(old))
+        return F.concat(F.slice(items, F.lit(1), i - 1), F.array(new), F.array_sort(rest))
+
+    return F.when((F.size(items) < 2) | at.isNull(), F.array_sort(items)).otherwise(turned(at))

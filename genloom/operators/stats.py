@@ -18,9 +18,21 @@ def weighted_mean(x, w) -> Column:
     return F.sum(_c(w) * _c(x)) / F.sum(_c(w))
 
 
-def exact_sum(x) -> Column:
-    """A sum without rounding of its terms: decimals of 18 digits after the point."""
-    return F.sum(_c(x).cast("decimal(38,18)")).cast("double")
+def exact_sum(x, digits: int = 18) -> Column:
+    """A sum without rounding of its terms: decimals with so many digits after the point, 38 in all; fails if they overflow."""
+    return F.sum(_c(x).cast(f"decimal(38,{digits})")).cast("double")
+
+
+def exact_weighted_sum(x, w, digits: int = 9) -> Column:
+    """A weighted sum without rounding: x and w as decimals with so many digits after the point, and twice as many in the sum."""
+    term = lambda c: _c(c).cast(f"decimal({19},{digits})")
+    return F.sum(term(x) * term(w)).cast("double")
+
+
+def scaled_sum(x) -> Column:
+    """A sum of any magnitude with a small error: terms are split at the unit, whole parts and rests are summed apart."""
+    whole = F.floor(_c(x))
+    return F.sum(whole.cast("decimal(38,0)")).cast("double") + F.sum((_c(x) - whole).cast("decimal(38,18)")).cast("double")
 
 
 def variance(x) -> Column:

@@ -102,18 +102,6 @@ def interval_map_sum(s, d):
     return intervals.sweep({"v": v}, ["user_id"], "s", "e", "value").filter("n_v > 0").select("user_id", F.col("start").alias("lo"), F.col("end").alias("hi"), F.col("n_v").alias("n"), F.round("v_v", 4).alias("total"))
 
 
-@query(_SWEEP + f" SELECT 'joining' AS style, * FROM ({_merged('na > 0')}) UNION ALL SELECT 'splitting', user_id, lo, hi FROM (SELECT user_id, x AS lo, lead(x) OVER (PARTITION BY user_id ORDER BY x) AS hi, sum(a) OVER (PARTITION BY user_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS na FROM (SELECT user_id, x, sum(a) AS a FROM p WHERE a <> 0 GROUP BY 1, 2)) WHERE na > 0 AND hi IS NOT NULL")
-def interval_combining(s, d):
-    v = _spans(s, d, "click")
-    out = [intervals.combine(v, ["user_id"], "s", "e", k).select(F.lit(k).alias("style"), "user_id", F.col("start").alias("lo"), F.col("end").alias("hi")) for k in ("joining", "splitting")]
-    return out[0].unionByName(out[1])
-
-
-@query()
-def clump(s, d):
-    return intervals.clump(_spans(s, d).select("user_id", "event_id", "s", "value"), ["user_id"], "s", "value", 7200)
-
-
 @query(f"""WITH v AS ({_V}), g AS (SELECT *, s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) AS gap FROM v), r AS (SELECT * FROM g, (VALUES (0, 0.0), (1, 600.0), (2, 3600.0), (3, 14400.0), (4, 86400.0)) AS l(res, cut))
    SELECT event_id, res, sum(coalesce((gap > cut)::INT, 0)) OVER (PARTITION BY user_id, res ORDER BY s, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS group_id FROM r""")
 def multi_resolution_partition(s, d):
@@ -212,11 +200,6 @@ def transpose_graph(s, d):
     return graph.transpose(_trade(s, d))
 
 
-@query()
-def minimum_spanning_tree(s, d):
-    return graph.minimum_spanning_forest(_trade(s, d))
-
-
 def _tree(s, d):
     """Customers and suppliers point to nations, nations to regions; ids of a kind have their own range."""
     c = T(s, d, "customer").select((F.col("c_custkey") + 10_000_000).alias("src"), (F.col("c_nationkey") + 100).cast("long").alias("dst"))

@@ -6,9 +6,11 @@ weight, and only what no sibling can use is left to the ancestor's other childre
 leaves'. A leaf's budget is so many whole epochs and a prefix of one more: the documents in the order of a hash seeded by
 the epoch, as long as their tokens fit.
 
-Shares are found in closed form from running sums over a parent's children, so the tree is never walked on the driver. The
-prefix needs no sort of a leaf: tokens are summed by leaf and leading digits of the hash, running sums over these buckets
-find the one bucket that a prefix ends in, and only its documents are sorted. A hot source is spread over all tasks.
+Shares are found in closed form from running sums over a parent's children, so the tree is never walked on the driver; the
+children of one parent are sorted by one task. The prefix needs no sort of a leaf: tokens are summed by leaf and the leading
+digits of the hash, running sums over these buckets find the one that a prefix ends in, a second round does the same inside
+it with more digits, and only the documents of that last bucket are sorted. A hot source is spread over all tasks. Words are
+counted once, into a narrow table; the documents themselves are read again for the result alone.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from genloom.runtime import materialize, small_or_not, table
+from genloom.runtime import materialize, scratch, small_or_not, table
 
 LEAF = ["domain", "language", "source"]
-#: Hexadecimal digits of the seeded hash that make a bucket.
-DIGITS = 3
+#: Hexadecimal digits of the seeded hash that make a bucket, in each round.
+DIGITS = (2, 4)
 
 
 def words(text: Column) -> Column:
@@ -82,26 +84,43 @@ def mix(docs: DataFrame, domain: Column, language: Column, source: Column, weigh
     """
     tokens = words(F.col("text")) if tokens is None else tokens
     leaf = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip((domain, language, source), LEAF, strict=True)]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), *leaf, tokens.cast("long").alias("tokens"))
-    sums = materialize(rows.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")), "leaves")
-    plan = budgets(sums, weights, percent, max_epochs)
-    whole = F.when(F.col("tokens") > 0, F.expr("alloc DIV tokens")).otherwise(F.lit(0))
-    plan = plan.withColumn("whole", whole.cast("long")).withColumn("left", F.col("alloc") - F.col("whole") * F.col("tokens")).select(*LEAF, "whole", "left")
-    plan = small_or_not(materialize(plan, "plan"))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    placed = rows.join(plan, LEAF).withColumn("o", order).withColumn("bucket", F.substring("o", 1, DIGITS))
-    held = placed.groupBy(*LEAF, "left", "bucket").agg(F.sum("tokens").alias("t"))
-    upto = W.partitionBy(*LEAF).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    over = held.withColumn("upto", F.sum("t").over(upto)).filter(F.col("upto") > F.col("left"))
-    ends = over.groupBy(*LEAF).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("t")).alias("before"))).alias("e"))
-    ends = small_or_not(materialize(ends.select(*LEAF, F.col("e.bucket").alias("last"), F.col("e.before").alias("before")), "ends"))
-    placed = placed.join(ends, LEAF, "left")
-    early = F.col("last").isNull() | (F.col("bucket") < F.col("last"))
-    out = ["row", "doc_id", *LEAF, "tokens"]
-    sure = placed.select(*out, F.explode(F.when(early & (F.col("left") > 0), F.sequence(F.lit(0).cast("long"), F.col("whole"))).otherwise(F.slice(F.sequence(F.lit(0).cast("long"), F.col("whole")), F.lit(1), F.col("whole").cast("int")))).alias("epoch"))
-    edge = placed.filter((F.col("bucket") == F.col("last")) & (F.col("left") > 0))
-    running = F.sum("tokens").over(W.partitionBy(*LEAF).orderBy("o").rangeBetween(W.unboundedPreceding, W.currentRow))
-    return sure.unionByName(edge.withColumn("run", running).filter(F.col("before") + F.col("run") <= F.col("left")).select(*out, F.col("whole").alias("epoch")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    with scratch(docs.sparkSession) as made:
+        narrow = materialize(docs.select(F.col(id_col).alias("doc_id"), *leaf, tokens.cast("long").alias("tokens")), "counted")
+        sums = materialize(narrow.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")), "leaves")
+        plan = budgets(sums, weights, percent, max_epochs)
+        whole = F.when(F.col("tokens") > 0, F.expr("alloc DIV tokens")).otherwise(F.lit(0))
+        plan = plan.withColumn("whole", whole.cast("long")).withColumn("left", F.col("alloc") - F.col("whole") * F.col("tokens")).select(*LEAF, "whole", "left")
+        plan = materialize(plan, "plan")
+        placed = narrow.join(small_or_not(plan), LEAF).withColumn("o", place)
+        ends = _ends(placed)
+        last = F.substring("o", 1, DIGITS[-1])
+        edge = placed.join(small_or_not(ends), LEAF).filter((last == F.col("last")) & (F.col("left") > 0))
+        running = F.sum("tokens").over(W.partitionBy(*LEAF).orderBy("o").rangeBetween(W.unboundedPreceding, W.currentRow))
+        reached = edge.withColumn("run", running).filter(F.col("before") + F.col("run") <= F.col("left"))
+        reached = materialize(reached.select(*LEAF, "o").distinct().withColumn("reached", F.lit(True)), "reached")
+        made.keep(plan, ends, reached)
+    rows = docs.select(row, F.col(id_col).alias("doc_id"), *leaf, tokens.cast("long").alias("tokens"))
+    rows = rows.join(small_or_not(plan), LEAF).withColumn("o", place).join(small_or_not(ends), LEAF, "left").join(small_or_not(reached), [*LEAF, "o"], "left")
+    more = (F.col("left") > 0) & (F.col("last").isNull() | (last < F.col("last")) | F.coalesce("reached", F.lit(False)))
+    epochs = F.slice(F.sequence(F.lit(0).cast("long"), F.col("whole")), F.lit(1), (F.col("whole") + more.cast("long")).cast("int"))
+    return rows.select("row", "doc_id", *LEAF, "tokens", F.explode(epochs).alias("epoch"))
+
+
+def _ends(placed: DataFrame) -> DataFrame:
+    """(domain, language, source, last, before): the bucket of DIGITS[-1] digits that a leaf's prefix ends in and the tokens
+    before it; leaves whose prefix is all of them are left out."""
+    ends = None
+    for digits in DIGITS:
+        some = placed if ends is None else placed.join(small_or_not(ends), LEAF).filter(F.col("o").startswith(F.col("last")))
+        start = F.lit(0).cast("long") if ends is None else F.col("before")
+        held = some.groupBy(*LEAF, "left", start.alias("start"), F.substring("o", 1, digits).alias("bucket")).agg(F.sum("tokens").alias("t"))
+        upto = W.partitionBy(*LEAF).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+        over = held.withColumn("upto", F.col("start") + F.sum("t").over(upto)).filter(F.col("upto") > F.col("left"))
+        first = over.groupBy(*LEAF).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("t")).alias("before"))).alias("e"))
+        ends = materialize(first.select(*LEAF, F.col("e.bucket").alias("last"), F.col("e.before").alias("before")), "ends")
+    return ends
 
 
 #: The example tree: sources whose name ends in 0 to 4 are web, the others are books.

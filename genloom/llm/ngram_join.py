@@ -235,12 +235,6 @@ def _tree_pairs(best: bool):
         if not side.any():
             names, of, size = np.unique(comp, return_inverse=True, return_counts=True)
             right = of != size.argmax()
-            # what has no neighbour in size that could link with it stays out
-            order = np.lexsort((doc, n))
-            close = n[order][:-1] * DEN >= n[order][1:] * NUM
-            near = np.zeros(len(n), bool)
-            near[order] = np.concatenate((close, [False])) | np.concatenate(([False], close))
-            left, right = left & near, right & near
         if len(np.unique(np.concatenate((comp[left], comp[right])))) < 2:
             return set(), False
         for own in np.unique(bits[left]):
@@ -339,6 +333,13 @@ def _deal(posts: DataFrame, comp: DataFrame, points: DataFrame) -> DataFrame:
     one = one.filter("lo < hi OR any").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
     by_key = materialize(rows.join(small_or_not(materialize(one, "distinct-keys")), "key", "left_semi").select("key", "doc", "comp", "size"), "key-postings")
     alone = few.unionByName(by_key.filter(F.col("size") <= BLOCK).select(F.col("key").cast("string").alias("g"), F.lit(0).alias("side"), "doc"))
+    # a document without a neighbour in size has no partner in its tree, nor has a tree of one component any work
+    alone = alone.join(points.select(F.col("doc_id").alias("doc"), "n"), "doc").join(small_or_not(comp), F.col("doc") == F.col("vertex"), "left")
+    alone = alone.select("g", "side", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+    by_size, by_tree = W.partitionBy("g").orderBy("n", "doc"), W.partitionBy("g")
+    near = (F.lag("n").over(by_size) * DEN >= F.col("n") * NUM) | (F.col("n") * DEN >= F.lead("n").over(by_size) * NUM)
+    alone = alone.withColumn("near", near).filter("near").withColumn("lo", F.min("comp").over(by_tree)).withColumn("hi", F.max("comp").over(by_tree))
+    alone = alone.filter("lo < hi").select("g", "side", "doc")
     many = by_key.filter(F.col("size") > BLOCK)
     return materialize(alone if many.isEmpty() else alone.unionByName(_block_pairs(many)), "trees")
 

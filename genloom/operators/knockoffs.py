@@ -112,6 +112,31 @@ def generate(haplotypes: DataFrame, refs: DataFrame, group_size: int, rho: float
     return rows.mapInPandas(part, "chr int, hap_id long, alleles array<long>, controls array<long>")
 
 
+def shared_by_relatives(generated: DataFrame, segments: DataFrame, group_size: int) -> DataFrame:
+    """generated, with equal controls where relatives share a segment: (chr, hap_id, alleles, controls).
+
+    segments are (chr, indices, j_min, j_max): haplotypes that descend from one ancestor at variants j_min to j_max, both
+    included. On a group of variants that lies whole in a segment its haplotypes are one family, segments with a haplotype
+    in common are joined, and all of the family take the controls of its smallest haplotype, which were drawn given the
+    alleles that they share. Groups at a segment's ends keep their own. Ids must be below 2 ** 36, groups below 2 ** 19,
+    chromosomes below 128.
+    """
+    from genloom.operators.graph import connected_components
+
+    first, last = F.ceil(F.col("j_min") / group_size), F.floor((F.col("j_max") + 1) / group_size) - 1
+    on = segments.filter(F.size("indices") > 1).select("chr", "indices", F.explode(F.when(first <= last, F.sequence(first, last))).alias("g"))
+    code = lambda hap: F.shiftleft(F.col("chr").cast("long"), 55).bitwiseOR(F.shiftleft(F.col("g").cast("long"), 36)).bitwiseOR(hap)
+    edges = on.select("chr", "g", F.array_min("indices").alias("a"), F.explode("indices").alias("b"))
+    found = connected_components(edges.select(code(F.col("a")).alias("src"), code(F.col("b")).alias("dst"))).filter("vertex <> component")
+    low = F.lit((1 << 36) - 1)
+    of = found.select(F.shiftright("vertex", 55).cast("int").alias("chr"), F.shiftright("vertex", 36).bitwiseAND(F.lit((1 << 19) - 1)).alias("g"), F.col("vertex").bitwiseAND(low).alias("hap_id"), F.col("component").bitwiseAND(low).alias("from"))
+    groups = F.sequence(F.lit(0), F.ceil(F.size("controls") / group_size).cast("int") - 1)
+    cells = generated.select("chr", "hap_id", F.explode(groups).alias("g"), "controls").select("chr", "hap_id", F.col("g").cast("long").alias("g"), F.slice("controls", F.col("g") * group_size + 1, F.lit(group_size)).alias("own"))
+    given = cells.select("chr", "g", F.col("hap_id").alias("from"), F.col("own").alias("given")).join(of, ["chr", "g", "from"]).drop("from")
+    mixed = cells.join(given, ["chr", "g", "hap_id"], "left").groupBy("chr", "hap_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("g", F.coalesce("given", "own").alias("c")))), lambda x: x["c"])).alias("controls"))
+    return generated.select("chr", "hap_id", "alleles").join(mixed, ["chr", "hap_id"])
+
+
 def pair_table(generated: DataFrame) -> DataFrame:
     """Long form (chr, snp_idx, hap_id, allele, Knockoff) with original and control rows; see pair_order."""
     both = generated.select("chr", "hap_id", F.explode(F.array(F.struct(F.col("alleles").alias("a"), F.lit(False).alias("k")), F.struct(F.col("controls").alias("a"), F.lit(True).alias("k")))).alias("x"))

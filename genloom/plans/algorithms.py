@@ -492,3 +492,19 @@ def reference_sanity(s, d):
     """How many haplotypes' references fail each check."""
     r = _references(s, d)
     return r.agg(F.count_if(F.size("refs") != 5).cast("int").alias("wrong_size"), F.count_if(F.array_contains("refs", F.col("hap_id"))).cast("int").alias("self_reference"), F.count_if(F.size(F.array_distinct("refs")) != F.size("refs")).cast("int").alias("doubled"))
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT label, vec_id, {_BITS} AS a, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings),
+   k AS (SELECT label, vec_id AS x, nxt AS y, 8 * (vec_id % 4) + 3 AS lo, 8 * (vec_id % 4) + 29 AS hi FROM b WHERE vec_id % 3 <> 0 AND nxt IS NOT NULL),
+   e AS (SELECT label, g, x, y FROM k, (SELECT unnest(range(0, 8)) AS g) WHERE g * 8 >= lo AND g * 8 + 7 <= hi), u AS (SELECT * FROM e UNION ALL SELECT label, g, y, x FROM e),
+   r(label, g, v, w) AS (SELECT DISTINCT label, g, x, x FROM u UNION SELECT r.label, r.g, r.v, u.y FROM r JOIN u ON u.label = r.label AND u.g = r.g AND u.x = r.w), f AS (SELECT label, g, v, min(w) AS m FROM r GROUP BY 1, 2, 3),
+   c AS (SELECT label, vec_id, g, list_reverse(a)[g * 8 + 1:g * 8 + 8] AS c FROM b, (SELECT unnest(range(0, 8)) AS g) WHERE g * 8 < len(a)),
+   j AS (SELECT o.label, o.vec_id, o.g, coalesce(t.c, o.c) AS c FROM c o LEFT JOIN f ON f.label = o.label AND f.g = o.g AND f.v = o.vec_id LEFT JOIN c t ON t.label = f.label AND t.g = f.g AND t.vec_id = f.m)
+   SELECT label AS chr, vec_id AS hap_id, flatten(list(c ORDER BY g)) AS controls FROM j GROUP BY 1, 2""")
+def family_controls(s, d):
+    """Relatives: some vectors share part of their places with the next of their label. Controls are alleles reversed."""
+    a = F.transform("embedding", lambda x: (x > 0).cast("long"))
+    e = T(s, d, "embeddings").select(F.col("label").alias("chr"), F.col("vec_id").alias("hap_id"), a.alias("alleles"), F.reverse(a).alias("controls"))
+    nxt = F.lead("hap_id").over(W.partitionBy("chr").orderBy("hap_id"))
+    k = e.select("chr", F.array(F.col("hap_id"), nxt).alias("indices"), (8 * (F.col("hap_id") % 4) + 3).alias("j_min"), (8 * (F.col("hap_id") % 4) + 29).alias("j_max"), nxt.alias("nxt")).filter("indices[0] % 3 <> 0 AND nxt IS NOT NULL")
+    return knockoffs.shared_by_relatives(e, k.drop("nxt"), 8).select("chr", "hap_id", "controls")

@@ -241,6 +241,8 @@ def kinship_clusters(s, d):
 
 @query()
 def hmm_knockoffs(s, d):
-    h = _haplotypes(s, d)
-    refs = haplo.nearest(h, ["chr"], "hap_id", "words", 5).groupBy("chr", F.col("id").alias("hap_id")).agg(F.array_sort(F.collect_list("ref")).alias("refs"))
+    """References come from clusters of bounded size within a chromosome."""
+    h = kinship.clusters(_haplotypes(s, d), "hap_id", "embedding", least=20, most=200)
+    h = h.withColumn("cluster_id", F.concat_ws("/", "chr", "cluster_id"))
+    refs = kinship.references(h, "hap_id", "words", 5).select(F.substring_index("cluster_id", "/", 1).cast("int").alias("chr"), "hap_id", "refs")
     return knockoffs.generate(h.select("chr", "hap_id", "words", "n"), refs, group_size=4, rho=0.05, mutation=1e-3, seed=2020)

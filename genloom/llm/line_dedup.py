@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genloom.runtime import materialize, small_or_not, table
+from genloom.runtime import materialize, scratch, small_or_not, table
 
 RATIO, LEAST = 0.3, 3
 #: Tags that end a line; a fixed list.
@@ -47,11 +47,14 @@ def drop_boilerplate(pages: DataFrame, id_col: str, host: Column, lines: Column,
     not read.
     """
     base = pages.select(F.col(id_col).alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
-    base = materialize(base.withColumn("hashes", F.transform("lines", lambda x: F.md5(x.cast("binary")))), "page-lines")
-    on = base.select("host", F.explode(F.array_distinct("hashes")).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    total = small_or_not(materialize(base.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "host-pages"))
-    common = on.join(total, "host").filter(F.col("n") > F.col("pages") * F.lit(ratio)).groupBy("host").agg(F.collect_set("h").alias("common"))
-    out = base.join(small_or_not(materialize(common, "boilerplate")), "host", "left")
+    with scratch(pages.sparkSession) as made:
+        base = materialize(base.withColumn("hashes", F.transform("lines", lambda x: F.md5(x.cast("binary")))), "page-lines")
+        on = base.select("host", F.explode(F.array_distinct("hashes")).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+        total = small_or_not(materialize(base.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "host-pages"))
+        common = on.join(total, "host").filter(F.col("n") > F.col("pages") * F.lit(ratio)).groupBy("host").agg(F.collect_set("h").alias("common"))
+        common = materialize(common, "boilerplate")
+        made.keep(base, common)
+    out = base.join(small_or_not(common), "host", "left")
     # the page's lines meet the host's set by hash, once; only those found are looked up line by line
     keep = F.expr("transform(array(array_intersect(hashes, common)), hot -> transform(filter(arrays_zip(lines, hashes), x -> NOT array_contains(hot, x.hashes)), x -> x.lines))[0]")
     return out.select("page_id", "host", "lines", F.when(F.col("common").isNull(), F.col("lines")).otherwise(keep).alias("kept_lines"))

@@ -138,9 +138,12 @@ def _judged(base: DataFrame, common: DataFrame) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *_COLS, "n_removed_words", failed.alias("base_failed"), kept.alias("kept"))
 
 
-def _kept_rows(docs: DataFrame, judged: DataFrame, id_col: str) -> DataFrame:
-    gone = judged.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(small_or_not(materialize(gone, "rejected")), F.col(id_col) == F.col("__gone"), "left_anti")
+def _gone(judged: DataFrame) -> DataFrame:
+    return materialize(judged.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct(), "rejected")
+
+
+def _kept_rows(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    return docs.join(small_or_not(gone), F.col(id_col) == F.col("__gone"), "left_anti")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -155,7 +158,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of docs whose id has no rejected text, with docs' columns; rows of a null id stay."""
-    return _kept_rows(docs, quality(docs, id_col, text_col, host_col), id_col)
+    with scratch(docs.sparkSession) as made:
+        gone = _gone(quality(docs, id_col, text_col, host_col))
+        made.keep(gone)
+    return _kept_rows(docs, gone, id_col)
 
 
 def _without(data: np.ndarray, off: np.ndarray, drop) -> tuple[np.ndarray, np.ndarray]:
@@ -209,8 +215,11 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
     A text is what its other lines give, joined by newlines; a null text stays null. Other columns stay as they are.
     """
-    base, common = _counted(docs, id_col, text_col, host_col)
-    rows = _kept_rows(docs, _judged(base, common), id_col).withColumn("__host", F.coalesce(F.col(host_col), F.lit("")))
+    with scratch(docs.sparkSession) as made:
+        base, common = _counted(docs, id_col, text_col, host_col)
+        gone = _gone(_judged(base, common))
+        made.keep(common, gone)
+    rows = _kept_rows(docs, gone, id_col).withColumn("__host", F.coalesce(F.col(host_col), F.lit("")))
     common = small_or_not(common.select(F.col("host").alias("__of"), F.col("common").alias("__common")))
     rows = rows.join(common, F.col("__host") == F.col("__of"), "left").drop("__of")
     return tk.map_batches(rows, _cleaned(text_col), docs.schema)

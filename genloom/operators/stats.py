@@ -31,8 +31,8 @@ def exact_weighted_sum(x, w, digits: int = 9) -> Column:
 
 def scaled_sum(x) -> Column:
     """A sum of any magnitude with a small error: terms are split at the unit, whole parts and rests are summed apart."""
-    whole = F.floor(_c(x))
-    return F.sum(whole.cast("decimal(38,0)")).cast("double") + F.sum((_c(x) - whole).cast("decimal(38,18)")).cast("double")
+    rest = _c(x) % 1
+    return F.sum((_c(x) - rest).cast("decimal(38,0)")).cast("double") + F.sum(rest.cast("decimal(38,18)")).cast("double")
 
 
 def variance(x) -> Column:

@@ -245,3 +245,28 @@ def test_references_stay_within_clusters(spark):
     for c, i, a in rows:
         near = sorted((sum(x != y for x, y in zip(a, b)), j) for d, j, b in rows if d == c and j != i)[:4]
         assert got[i] == [j for _, j in near]
+
+
+@pytest.mark.parametrize("starts", [[0], [0, 1, 2, 3], [0, 2], [0, 1, 3]])
+def test_swapping_groups_keeps_the_joint_law(starts):
+    """Every cell of the joint law of states and control states, for every set of groups swapped."""
+    import numpy as np
+
+    from genloom.operators import knockoffs
+
+    rng = np.random.default_rng(9)
+    n, p, k = 400_000, 4, 2
+    r = np.array([1, 0.5, 0.2, 0.7])
+    z = np.empty((n, p), int)
+    z[:, 0] = rng.integers(0, k, n)
+    for j in range(1, p):
+        z[:, j] = np.where(rng.random(n) < r[j], rng.integers(0, k, n), z[:, j - 1])
+    zk = knockoffs.control_states(z, r, k, starts, rng.random((n, p)))
+    code = lambda a, b: (np.hstack((a, b)) * k ** np.arange(2 * p)).sum(axis=1)
+    plain = np.bincount(code(z, zk), minlength=k ** (2 * p))
+    for chosen in itertools.product((False, True), repeat=len(starts)):
+        on = np.zeros(p, bool)
+        for s, e, c in zip(starts, [*starts[1:], p], chosen):
+            on[s:e] = c
+        other = np.bincount(code(np.where(on, zk, z), np.where(on, z, zk)), minlength=k ** (2 * p))
+        assert (np.abs(plain - other) <= 5 * np.sqrt(plain + other + 1)).all()

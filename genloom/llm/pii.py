@@ -214,26 +214,26 @@ def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
 
 
 def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_disguised, base_sha256, spans) for every row of docs.
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_disguised, n_spans, base_sha256, spans) for every row of docs.
 
-    The counts and base_sha256 are of the base patterns, spans also has what deobfuscation adds. A null text counts as
-    empty: no spans and the digest of the empty string. Repeated rows are scanned each; an empty table gives no rows;
-    other columns are not read; a null id stays.
+    The counts of kinds and base_sha256 are of the base patterns; n_spans and spans also have what deobfuscation adds. A
+    null text counts as empty: no spans and the digest of the empty string. Repeated rows are scanned each; an empty table
+    gives no rows; other columns are not read; a null id stays.
     """
 
     def part(batches):
         for b in batches:
-            cols = [[] for _ in range(7)]
+            cols = [[] for _ in range(8)]
             for t, may in zip(b.column(1), may_be_rewritten(b.column(1)).to_pylist()):
                 text = t.as_py() or ""
                 base = detect(text)
                 more = disguised(text, base) if may else []
                 kinds = [s[0] for s in base]
-                for c, x in zip(cols, (*(kinds.count(k) for k in KINDS), len(more), digest(base, KINDS), joined(base + more, KINDS))):
+                for c, x in zip(cols, (*(kinds.count(k) for k in KINDS), len(more), len(base) + len(more), digest(base, KINDS), joined(base + more, KINDS))):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.string()) for c in cols[5:])], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_disguised", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:6]), *(pa.array(c, pa.string()) for c in cols[6:])], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_disguised", "n_spans", "base_sha256", "spans"])
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_disguised long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_disguised long, n_spans long, base_sha256 string, spans string"
     return tk.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), part, schema)
 
 

@@ -151,26 +151,26 @@ def novel_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans) for every row of docs.
+    """(doc_id, n_assign, n_access, n_hex, n_novel, n_spans, base_sha256, spans) for every row of docs.
 
-    The counts and base_sha256 are of the base patterns; spans also has what the novelty measure adds, as kind novel. A
-    null text counts as empty: no spans and the digest of the empty string. Repeated rows are scanned each; an empty table
-    gives no rows; other columns are not read; a null id stays.
+    The counts of kinds and base_sha256 are of the base patterns; n_spans and spans also have what the novelty measure adds,
+    as kind novel. A null text counts as empty: no spans and the digest of the empty string. Repeated rows are scanned each;
+    an empty table gives no rows; other columns are not read; a null id stays.
     """
 
     def part(batches):
         for b in batches:
-            cols = [[] for _ in range(6)]
+            cols = [[] for _ in range(7)]
             for t in b.column(1):
                 text = t.as_py() or ""
                 base = base_spans(text)
                 more = novel_spans(text, base)
                 kinds = [s[0] for s in base]
-                for c, x in zip(cols, (*(kinds.count(k) for k in KINDS[:3]), len(more), digest(base, KINDS), joined(base + more, KINDS))):
+                for c, x in zip(cols, (*(kinds.count(k) for k in KINDS[:3]), len(more), len(base) + len(more), digest(base, KINDS), joined(base + more, KINDS))):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.string()) for c in cols[5:])], ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "n_spans", "base_sha256", "spans"])
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, n_spans long, base_sha256 string, spans string"
     return tk.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), part, schema)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
 def keep(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
@@ -61,9 +60,11 @@ def thin(df: DataFrame, index: str, step: int) -> DataFrame:
 
 
 def mask_by_family(df: DataFrame, family: str, order: str, value: str) -> DataFrame:
-    """value replaced by that of the family's first member."""
-    first = W.partitionBy(family).orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return df.withColumn(value, F.first(value).over(first))
+    """value replaced by that of the family's first member; rows of a null family are one family. A family's first member
+    comes from an aggregate with map-side combine, so a large family is sorted nowhere."""
+    first = df.groupBy(F.col(family).alias("__family")).agg(F.min(F.struct(order, value)).alias("__first"))
+    out = df.join(first, F.col(family).eqNullSafe(F.col("__family")), "left").withColumn(value, F.col("__first")[value])
+    return out.select(*df.columns)
 
 
 def get_bit(words: Column, i: Column) -> Column:

@@ -61,11 +61,23 @@ def components_of(vertices: DataFrame, edges: DataFrame, vertex: str = "vertex")
     return out.select("vertex", F.coalesce("component", "vertex").alias("component"))
 
 
-def co_membership(components: DataFrame) -> DataFrame:
+#: Vertices or edges of a component that an operator which holds a component at a time takes; it refuses larger ones.
+LARGEST = 5_000_000
+
+
+def _refuse(groups: DataFrame, key: str, most: int) -> None:
+    """Raises if a group has more than so many rows, before anything is gathered."""
+    top = groups.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    if top > most:
+        raise ValueError(f"a component of {top} rows is more than one task is to hold ({most})")
+
+
+def co_membership(components: DataFrame, most: int = LARGEST) -> DataFrame:
     """(component, size, members): sorted members once for each component; join it by component to list them per vertex.
 
-    A component's members make one array, so this suits components whose size is bounded.
+    A component's members make one array; a component of more than most vertices is refused.
     """
+    _refuse(components, "component", most)
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("vertex")).alias("members"))
 
 
@@ -80,16 +92,17 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def transitive_closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(src, dst) of all paths of one edge or more; paths double in length each round."""
+    """(src, dst) of all paths of one edge or more; paths double in length each round. The result may hold every pair of
+    vertices: that is what is asked for. Raises where max_rounds end first."""
     reach = materialize(edges.select("src", "dst").distinct(), "closure")
     n = reach.count()
     for _ in range(max_rounds):
         step = reach.select(F.col("src").alias("a"), F.col("dst").alias("m")).join(reach.select(F.col("src").alias("m"), F.col("dst").alias("b")), "m")
         reach = materialize(reach.union(step.select("a", "b")).distinct(), "closure")
         if (more := reach.count()) == n:
-            break
+            return reach
         n = more
-    return reach
+    raise ValueError("paths are longer than max_rounds doublings")
 
 
 def _compact(rows: DataFrame, n: int, name: str) -> DataFrame:
@@ -129,7 +142,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000)
 
 
 def all_pairs(edges: DataFrame) -> DataFrame:
-    """shortest_paths from every vertex."""
+    """shortest_paths from every vertex; the result holds every pair that a path joins."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
     return shortest_paths(edges, ends)
 
@@ -174,12 +187,12 @@ def minimum_spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame
         sides = open_.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("weight", "src", "dst").alias("x"))
         best = materialize(sides.groupBy("c").agg(F.min("x").alias("x")).select("x.*").distinct(), "mst")
         if best.isEmpty():
-            break
+            return (chosen if chosen is not None else best).select("src", "dst", "weight")
         chosen = best if chosen is None else chosen.unionByName(best)
         joined = best.join(a, "src").join(b, "dst")
         merged = connected_components(joined, "ca", "cb").withColumnRenamed("vertex", "old").withColumnRenamed("component", "new")
         label = materialize(label.join(merged, label.component == merged.old, "left").select("vertex", F.coalesce("new", "component").alias("component")), "mst")
-    return (chosen if chosen is not None else e).select("src", "dst", "weight")
+    raise ValueError("components are left after max_rounds")
 
 
 def strong_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -243,10 +256,12 @@ def reconcile(updates: DataFrame, key: str, value: str, version: str) -> DataFra
     return updates.groupBy(key).agg(F.max_by(value, version).alias(value))
 
 
-def per_component(edges: DataFrame, function, schema: str) -> DataFrame:
-    """function(pandas frame of a component's edges) → pandas frame, for algorithms that are sequential by nature."""
+def per_component(edges: DataFrame, function, schema: str, most: int = LARGEST) -> DataFrame:
+    """function(pandas frame of a component's edges) → pandas frame, for algorithms that are sequential by nature. A
+    component of more than most edges is refused."""
     comp = connected_components(edges)
     grouped = edges.join(comp, edges.src == comp.vertex).drop("vertex")
+    _refuse(grouped, "component", most)
     return grouped.groupBy("component").applyInPandas(function, schema)
 
 

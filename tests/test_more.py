@@ -270,3 +270,24 @@ def test_swapping_groups_keeps_the_joint_law(starts):
             on[s:e] = c
         other = np.bincount(code(np.where(on, zk, z), np.where(on, z, zk)), minlength=k ** (2 * p))
         assert (np.abs(plain - other) <= 5 * np.sqrt(plain + other + 1)).all()
+
+
+def test_large_components_are_refused(spark):
+    path = edges(spark, [(i, i + 1) for i in range(9)])
+    with pytest.raises(ValueError, match="10 rows"):
+        graph.co_membership(graph.connected_components(path), most=9)
+    with pytest.raises(ValueError, match="9 rows"):
+        graph.per_component(path, lambda rows: rows, "src long, dst long, component long", most=8)
+    with pytest.raises(ValueError, match="max_rounds"):
+        graph.transitive_closure(path, max_rounds=2)
+    with pytest.raises(ValueError, match="max_rounds"):
+        graph.minimum_spanning_forest(path.withColumn("weight", F.lit(1)), max_rounds=1)
+    assert graph.transitive_closure(path).count() == 45 and graph.minimum_spanning_forest(path.withColumn("weight", F.lit(1))).count() == 9
+
+
+def test_families_take_their_first_value(spark):
+    from genloom.operators import filters
+
+    rows = [(1, 1, 5.0), (1, 0, None), (2, 3, 7.0), (2, 9, 8.0), (None, 1, 1.0), (None, 2, 2.0)]
+    got = filters.mask_by_family(spark.createDataFrame(rows, "f int, o int, z double"), "f", "o", "z").collect()
+    assert sorted(((r.f or 0, r.o, r.z) for r in got), key=lambda r: r[:2]) == [(0, 1, 1.0), (0, 2, 1.0), (1, 0, None), (1, 1, None), (2, 3, 7.0), (2, 9, 7.0)]

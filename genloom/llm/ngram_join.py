@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 
 from genloom.llm import textkernel as tk
 from genloom.operators.graph import connected_components
-from genloom.runtime import materialize, scratch, small_or_not, table
+from genloom.runtime import discard, materialize, scratch, small_or_not, table
 
 GROUPS, DENSITY = 64, 1
 WIDTH = 1 << 20
@@ -295,12 +295,15 @@ def _tree_pairs(best: bool):
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on the shingles of their whole texts."""
-    pairs = materialize(pairs, "pairs")
-    mark = small_or_not(pairs)
-    left = docs.join(mark, docs.doc_id == F.col("a")).select("a", "b", F.col("text").alias("ta"))
-    hubs = small_or_not(materialize(pairs.select("b").distinct(), "hubs"))
-    right = docs.join(hubs, docs.doc_id == F.col("b"), "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return materialize(tk.map_batches(left.join(right.hint("merge"), "b").select("a", "b", "ta", "tb"), _verified(k), "a long, b long"), "links")
+    with scratch(docs.sparkSession) as made:
+        pairs = materialize(pairs, "pairs")
+        mark = small_or_not(pairs)
+        left = docs.join(mark, docs.doc_id == F.col("a")).select("a", "b", F.col("text").alias("ta"))
+        hubs = small_or_not(materialize(pairs.select("b").distinct(), "hubs"))
+        right = docs.join(hubs, docs.doc_id == F.col("b"), "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        links = materialize(tk.map_batches(left.join(right.hint("merge"), "b").select("a", "b", "ta", "tb"), _verified(k), "a long, b long"), "links")
+        made.keep(links)
+    return links
 
 
 def _with_points(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -409,7 +412,10 @@ def _linked(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = posts.filter("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
     links = _verify(_with_points(pairs, points).distinct(), docs, k)
     comp = materialize(connected_components(links, "a", "b"), "components")
-    trees = _deal(posts, comp, points)
+    with scratch(spark) as made:
+        trees = _deal(posts, comp, points)
+        made.keep(trees)
+    discard(posts)
     for best in (True, False):
         rows = _tree_rows(trees, comp, points).repartition("g").sortWithinPartitions("g")
         found = materialize(tk.map_batches(rows, _tree_pairs(best), "a long, b long, g string"), "tree-pairs")
@@ -427,8 +433,11 @@ def _linked(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def drop_near_copies(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with docs' columns; rows of a null id stay."""
-    gone = ngram_components(docs, k, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(small_or_not(materialize(gone, "near-copies")), F.col(id_col) == F.col("__gone"), "left_anti")
+    with scratch(docs.sparkSession) as made:
+        gone = ngram_components(docs, k, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+        gone = materialize(gone, "near-copies")
+        made.keep(gone)
+    return docs.join(small_or_not(gone), F.col(id_col) == F.col("__gone"), "left_anti")
 
 
 def op1_ngram_jaccard(spark, sf_dir):

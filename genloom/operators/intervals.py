@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,28 +143,39 @@ def combine(df: DataFrame, keys: list[str], start: str, end: str, style: str) ->
 def clump(df: DataFrame, keys: list[str], position: str, score: str, reach: int) -> DataFrame:
     """Greedy clumps of each key: the smallest score leads and takes all free rows within reach, and so on; a lead column.
 
-    Rows that no gap above reach parts form an island, and no clump crosses such a gap, so islands are worked on apart.
+    Rows that no gap above reach parts form an island, and no clump crosses such a gap. A task reads its islands in order and
+    works on all that a batch completes at once, so many small islands cost no call each; an island is held whole.
     """
     schema = df.withColumn("lead", F.col(position).cast("long")).schema
-    by = W.partitionBy(*keys).orderBy(position)
-    apart = F.coalesce((F.col(position) - F.lag(position).over(by) > reach).cast("long"), F.lit(0))
-    dealt = df.withColumn("__new", apart).withColumn("__island", F.sum("__new").over(by.rangeBetween(W.unboundedPreceding, W.currentRow))).drop("__new")
+    apart = F.coalesce(F.col(position) - F.lag(position).over(W.partitionBy(*keys).orderBy(position)) > reach, F.lit(True))
+    dealt = df.withColumn("__new", apart).sortWithinPartitions(*keys, position)
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="__island").sort_values([score, position], kind="stable")
-        pos = rows[position].to_numpy()
-        lead = [None] * len(rows)
-        order = pos.argsort(kind="stable")
-        at = pos[order]
-        for i in range(len(rows)):
-            if lead[i] is None:
-                lo, hi = at.searchsorted(pos[i] - reach, "left"), at.searchsorted(pos[i] + reach, "right")
-                for j in order[lo:hi]:
-                    if lead[j] is None:
-                        lead[j] = int(pos[i])
-        return rows.assign(lead=lead)
-
-    return dealt.groupBy(*keys, "__island").applyInPandas(greedy, schema)
+        pos, new = rows[position].to_numpy(), rows["__new"].to_numpy()
+        order = rows[[score, position]].reset_index(drop=True).sort_values([score, position], kind="stable").index
+        at = np.where(new, reach + 1, np.diff(pos, prepend=pos[:1])).cumsum()  # islands side by side, out of each other's reach
+        lo, hi = at.searchsorted(at - reach, "left").tolist(), at.searchsorted(at + reach, "right").tolist()
+        lead, taken = np.full(len(rows), -1), bytearray(len(rows))
+        for i in order.tolist():
+            if not taken[i]:
+                taken[lo[i] : hi[i]] = b"\1" * (hi[i] - lo[i])
+                some = lead[lo[i] : hi[i]]
+                some[some < 0] = i
+        return rows.drop(columns="__new").assign(lead=pd.Series(pos[lead], rows.index).astype("Int64"))
+
+    def part(batches):
+        held = []
+        for b in batches:
+            if len(starts := np.flatnonzero(b["__new"].to_numpy())):
+                whole = pd.concat([*held, b.iloc[: starts[-1]]])
+                if len(whole):
+                    yield greedy(whole)
+                held = []
+            held.append(b.iloc[starts[-1] :] if len(starts) else b)
+        if held:
+            yield greedy(pd.concat(held))
+
+    return dealt.mapInPandas(part, schema)
 
 
 def in_order(a: Column, b: Column) -> Column:

@@ -291,3 +291,14 @@ def test_families_take_their_first_value(spark):
     rows = [(1, 1, 5.0), (1, 0, None), (2, 3, 7.0), (2, 9, 8.0), (None, 1, 1.0), (None, 2, 2.0)]
     got = filters.mask_by_family(spark.createDataFrame(rows, "f int, o int, z double"), "f", "o", "z").collect()
     assert sorted(((r.f or 0, r.o, r.z) for r in got), key=lambda r: r[:2]) == [(0, 1, 1.0), (0, 2, 1.0), (1, 0, None), (1, 1, None), (2, 3, 7.0), (2, 9, 7.0)]
+
+
+def test_many_small_clumps_take_no_call_each(spark):
+    """28,000 islands of two rows: a pandas call for each took minutes."""
+    from time import monotonic
+
+    df = spark.range(56_000).select((F.col("id") % 7).alias("k"), (F.floor(F.col("id") / 14) * 100 + F.floor(F.col("id") / 7) % 2).alias("p"), (-F.col("id")).cast("double").alias("s"))
+    began = monotonic()
+    out = intervals.clump(df, ["k"], "p", "s", 5)
+    assert out.filter("lead = p + 1 - p % 100").count() == out.count() == 56_000
+    assert monotonic() - began < 60

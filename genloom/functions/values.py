@@ -42,6 +42,17 @@ def add(a: Column, b: Column, sign: int = 1) -> Column:
     return F.zip_with(a, b, lambda x, y: x + sign * y)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x to so many decimal places by binary arithmetic, as C and DuckDB have it: scaled, to the nearest whole number with
+    halves away from zero, scaled back. Spark's round() takes the shortest decimal form, which may fall on the other side of
+    a half, and gives 0.0 for -0.0."""
+    unit = F.lit(10.0**places)
+    y = x.cast("double") * unit
+    near = F.rint(y)
+    whole = F.when((y > 0) & (y - near == 0.5), near + 1).when((y < 0) & (y - near == -0.5), near - 1).otherwise(near)
+    return F.when(F.isnan(whole) | (F.abs(whole) == float("inf")), x.cast("double")).otherwise(whole / unit)
+
+
 def fnv1(s: Column, bits: int = 32) -> Column:
     """FNV-1 of a string's UTF-8 bytes, 32 bits, without Python: a fold with prime and basis, kept in 64-bit arithmetic."""
     codes = F.transform(F.filter(F.split(F.hex(F.encode(s, "UTF-8")), "(?<=\\G..)"), lambda x: x != ""), lambda h: F.conv(h, 16, 10).cast("long"))

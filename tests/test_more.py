@@ -302,3 +302,48 @@ def test_many_small_clumps_take_no_call_each(spark):
     out = intervals.clump(df, ["k"], "p", "s", 5)
     assert out.filter("lead = p + 1 - p % 100").count() == out.count() == 56_000
     assert monotonic() - began < 60
+
+
+# rounding as SQL rounds
+
+
+@pytest.fixture(scope="module")
+def awkward_vectors(tmp_path_factory):
+    """Vectors whose thousandths are a half in single precision and less in double, and whose sums are just below zero."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = ((np.arange(-1000, 1000) + 0.5) / 1000).astype(np.float32)
+    part = x * np.float32(1000)
+    half = x[(np.abs(part - np.trunc(part)) == 0.5) & (np.abs(x.astype(float) * 1000) < np.abs(part))][::8][:64]
+    back = x[:32][::-1] * np.float32(-1) - np.float32(1e-7)
+    d = tmp_path_factory.mktemp("awkward")
+    rows = [half, np.concatenate([x[:32], back])]
+    assert len(half) == 64
+    pq.write_table(pa.table({"vec_id": pa.array([0, 1]), "embedding": pa.array(rows, pa.list_(pa.float32())), "label": pa.array([0, 0], pa.int32())}), f"{d}/embeddings.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["whole_arrays", "adjacent_gathered_swapped", "vector_sums"])
+def test_halves_and_negative_zeros_as_in_sql(spark, awkward_vectors, name):
+    import duckdb
+
+    from genloom.plans.catalogue import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{awkward_vectors}/embeddings.parquet'")
+    want = con.sql(ORACLES[name])
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in QUERIES[name](spark, awkward_vectors).select(*want.columns).collect())
+
+
+def test_rounded(spark):
+    x = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.3, float("inf"), 1e300]
+    got = [value(spark, nearest_whole(v)) for v in x]
+    assert list(map(repr, got)) == ["1.0", "-1.0", "2.0", "3.0", "-3.0", "0.0", "-0.0", "inf", "1e+300"]
+
+
+def nearest_whole(v):
+    from genloom.functions import values
+
+    return values.rounded(F.lit(v), 0)

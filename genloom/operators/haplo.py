@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def pack(alleles: str) -> Column:
@@ -36,14 +40,66 @@ def capped(distance: Column, most: int) -> Column:
     return F.least(distance, F.lit(most))
 
 
+#: Rows of a block of queries and of a block of candidates; a task compares one block of each at a time.
+QUERIES, CANDIDATES = 4096, 16_384
+
+
+def _bits(column) -> np.ndarray:
+    """(rows, words) of an Arrow column of arrays of words, shorter arrays padded with zeros."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(size), max(1, size.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1]) < size[:, None]] = lists.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+    return out.view(np.uint64)
+
+
+def _closest(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, k: int):
+    """(rows of a, rows of b, distances): for each row of a the k nearest rows of b under another id, ties by place in b."""
+    width = max(a.shape[1], b.shape[1])
+    a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
+    step = max(1, (1 << 20) // len(b))
+    kind = np.int32 if (width * 64 + 1) * len(b) < 2**31 else np.int64
+    far = np.iinfo(kind).max
+    place, out = np.arange(len(b), dtype=kind), []
+    for at in range(0, len(a), step):
+        d = sum(np.bitwise_count(a[at : at + step, None, w] ^ b[None, :, w]).astype(kind) for w in range(width))
+        d = d * kind(len(b)) + place
+        d[ia[at : at + step, None] == ib] = far
+        rows = np.arange(len(d))
+        for _ in range(min(k, len(b))):
+            j = d.argmin(axis=1)
+            low = d[rows, j]
+            some = low < far
+            out.append((at + rows[some], j[some], low[some] // len(b)))
+            d[rows, j] = far
+    return [np.concatenate(x) for x in zip(*out)]
+
+
 def nearest(df: DataFrame, keys: list[str], ident: str, words: str, k: int) -> DataFrame:
     """(keys, id, ref, distance, rank): the k nearest others of the same cluster by Hamming distance, ties by id.
 
-    Pairs are made within a cluster only; clusters are of bounded size by construction, which bounds the pairs.
+    Every pair of a cluster is compared, but none becomes a row: a cluster's rows are dealt to blocks by a hash of the id, a
+    task takes a block of queries and one of candidates and gives each query's k nearest of these; the nearest of all blocks
+    are merged. Work is quadratic in a cluster, memory is that of two blocks. Rows of a null key or id have no others.
     """
-    a = df.select(*keys, F.col(ident).alias("id"), F.col(words).alias("a"))
-    b = df.select(*keys, F.col(ident).alias("ref"), F.col(words).alias("b"))
-    pairs = a.join(b, keys).filter("id <> ref").select(*keys, "id", "ref", hamming("a", "b").alias("distance"))
+    rows = df.select(*keys, F.col(ident).alias("id"), F.col(words).alias("w")).dropna(subset=[*keys, "id"])
+    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    cut = lambda most: F.greatest(F.lit(1), F.ceil(F.col("__n") / most)).cast("int")
+    dealt = rows.join(size, keys).withColumns({"__nq": cut(QUERIES), "__nc": cut(CANDIDATES)})
+    mine = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = dealt.select(*keys, "id", "w", F.lit(True).alias("__a"), mine("__nq", 0).alias("__q"), every("__nc").alias("__c"))
+    both = asking.unionByName(dealt.select(*keys, "id", "w", F.lit(False).alias("__a"), every("__nq").alias("__q"), mine("__nc", 1).alias("__c")))
+    found = StructType([*[rows.schema[x] for x in keys], StructField("id", rows.schema["id"].dataType), StructField("ref", rows.schema["id"].dataType), StructField("distance", IntegerType())])
+
+    def compare(cell: pa.Table) -> pa.Table:
+        a, b = cell.filter(pc.field("__a")), cell.filter(~pc.field("__a")).sort_by("id")
+        ids = [np.unique(np.concatenate([x.column("id").to_numpy() for x in (a, b)]), return_inverse=True)[1].ravel()] if len(a) and len(b) else []
+        i, j, d = _closest(_bits(a.column("w")), _bits(b.column("w")), ids[0][: len(a)], ids[0][len(a) :], k) if ids else [np.zeros(0, np.int64)] * 3
+        got = a.select([*keys, "id"]).take(pa.array(i))
+        return got.append_column("ref", b.column("id").take(pa.array(j))).append_column("distance", pa.array(d, pa.int32()))
+
+    pairs = both.groupBy(*keys, "__q", "__c").applyInArrow(compare, found)
     rank = F.row_number().over(W.partitionBy(*keys, "id").orderBy("distance", "ref"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -347,3 +347,29 @@ def nearest_whole(v):
     from genloom.functions import values
 
     return values.rounded(F.lit(v), 0)
+
+
+def test_nearest_by_blocks(spark, monkeypatch):
+    """Several blocks of queries and candidates, words of two lengths, an id twice, a null key: as all pairs ranked."""
+    monkeypatch.setattr(haplo, "QUERIES", 7)
+    monkeypatch.setattr(haplo, "CANDIDATES", 11)
+    rng = random.Random(5)
+    rows = [(i % 2, i, [rng.getrandbits(63) for _ in range(1 + i % 2)]) for i in range(60)]
+    rows += [(0, 4, [rng.getrandbits(63)]), (None, 77, [1]), (5, 80, [-1])]
+    df = spark.createDataFrame(rows, "k int, id long, w array<long>")
+    got = sorted((r.k, r.id, r["rank"], r.ref, r.distance) for r in haplo.nearest(df, ["k"], "id", "w", 3).collect())
+    bits = lambda x, y: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in itertools.zip_longest(x, y, fillvalue=0))
+    near = {}
+    for k, i, x in rows:
+        for m, j, y in rows:
+            if k is not None and k == m and i != j:
+                near.setdefault((k, i), []).append((bits(x, y), j))
+    assert got == sorted((k, i, n + 1, j, d) for (k, i), all_ in near.items() for n, (d, j) in enumerate(sorted(all_)[:3]))
+
+
+def test_nearest_makes_no_row_a_pair(spark):
+    """6,000 rows of one key were 36,000,000 rows of pairs, which a window then sorted."""
+    df = spark.range(6000).select(F.lit(0).alias("k"), "id", F.array(F.xxhash64("id")).alias("w"))
+    plan = haplo.nearest(df, ["k"], "id", "w", 3)
+    assert "applyInArrow" in str(plan._jdf.queryExecution().analyzed()) or "FlatMapGroupsInArrow" in str(plan._jdf.queryExecution().analyzed())
+    assert plan.count() == 18_000

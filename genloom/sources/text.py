@@ -63,13 +63,41 @@ def read_fam(spark: SparkSession, template: str) -> DataFrame:
     return _csv(spark, template, schemas.FAM)
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """(i, value): the lines of a text source with their place from 0, in order of file names and of places in a file.
+
+    Spark deals files to tasks by size, so tasks are no order: a line's place is that of its split among all splits (a
+    short list, on the driver) and its own in the split.
+    """
+    spark = lines.sparkSession
+    read = lines.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), "value").rdd  # planned once: both passes see the same splits
+
+    def count(rows):
+        n = {}
+        for r in rows:
+            n[r.f, r.b] = n.get((r.f, r.b), 0) + 1
+        return n.items()
+
+    starts, at = {}, 0
+    for split, n in sorted(read.mapPartitions(count).collect()):
+        starts[split], at = at, at + n
+
+    def place(rows):
+        n = dict(starts)
+        for r in rows:
+            yield n[r.f, r.b], r.value
+            n[r.f, r.b] += 1
+
+    return spark.createDataFrame(read.mapPartitions(place), "i bigint, value string")
+
+
 def read_haps(spark: SparkSession, haps: str, legend: str, sample: str) -> DataFrame:
     """(snp_idx, snp_id, bp, a1, a2, alleles): a line of 0/1 a variant, joined with the legend by line number.
 
-    Line numbers come from file offsets' order within one file; a haplotype file is one file a chromosome.
+    Line numbers are those of numbered(); a haplotype file is one file a chromosome, or a folder of its parts.
     """
     del sample  # the sample file names the columns; see read_samples
-    number = lambda df: df.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("snp_idx bigint, value string")
+    number = lambda df: numbered(df).withColumnRenamed("i", "snp_idx")
     rows = number(spark.read.text(haps)).select("snp_idx", F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("tinyint")).alias("alleles"))
     leg = number(spark.read.text(legend)).filter("snp_idx > 0").select((F.col("snp_idx") - 1).alias("snp_idx"), F.split(F.trim("value"), r"\s+").alias("p"))
     leg = leg.select("snp_idx", F.col("p")[0].alias("snp_id"), F.col("p")[1].cast("bigint").alias("bp"), F.col("p")[2].alias("a1"), F.col("p")[3].alias("a2"))
@@ -78,7 +106,7 @@ def read_haps(spark: SparkSession, haps: str, legend: str, sample: str) -> DataF
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """(fid, iid, sample_idx) of a sample file with two header lines."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("i bigint, value string").filter("i > 1")
+    rows = numbered(spark.read.text(path)).filter("i > 1")
     parts = F.split(F.trim("value"), r"\s+")
     return rows.select(parts[0].alias("fid"), parts[1].alias("iid"), (F.col("i") - 2).alias("sample_idx"))
 
@@ -160,7 +188,7 @@ def read_dimacs(spark: SparkSession, template: str) -> DataFrame:
 
 def read_metis(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst) of an unweighted adjacency file, vertices counted from 1; comment lines start with %."""
-    lines = spark.read.text(path).filter(~F.col("value").startswith("%")).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("src bigint, value string").filter("src > 0")
+    lines = numbered(spark.read.text(path).filter(~F.col("value").startswith("%"))).withColumnRenamed("i", "src").filter("src > 0")
     return lines.select("src", F.explode(F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")).alias("d")).select("src", F.col("d").cast("bigint").alias("dst"))
 
 

@@ -108,3 +108,11 @@ def test_sqlite_and_blocks(spark, tmp_path):
 def test_sessions(spark):
     df = spark.createDataFrame([("u", f"2024-01-01 00:{m:02d}:00") for m in (0, 5, 30, 31)], "k string, t string").withColumn("t", F.to_timestamp("t"))
     assert sorted(r.n for r in gap_sessions(df, "k", "t", "10 minutes", "1 hour").collect()) == [2, 2]
+
+
+def test_lines_are_numbered_in_order_of_files(spark, tmp_path):
+    """Spark deals larger files first; a part file that is larger than the ones before it took their numbers."""
+    for i, n in enumerate([1, 40, 3]):
+        (tmp_path / f"part-0000{i}.txt").write_text("".join(f"{i}-{j} {'x' * 50 * i}\n" for j in range(n)))
+    got = sorted((r.i, r.value.split()[0]) for r in text.numbered(spark.read.text(str(tmp_path))).collect())
+    assert [v for _, v in got] == ["0-0", *[f"1-{j}" for j in range(40)], "2-0", "2-1", "2-2"] and [i for i, _ in got] == list(range(44))

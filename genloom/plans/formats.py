@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from genloom.operators import filters, haplo, knockoffs, partition
-from genloom.runtime import table
+from genloom.runtime import small_batches, table
 from genloom.sources import binary, sql, store, text
 
 T = table
@@ -306,6 +306,7 @@ def partitioned_writer(s, d):
 
 @query("SELECT doc_id, md5(text) AS a, md5(text) AS b FROM documents WHERE text IS NOT NULL")
 def block_compression(s, d):
+    small_batches(s)
     t = T(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.encode("text", "UTF-8").alias("t"))
     return t.select("doc_id", F.md5(binary.decompressed(binary.compressed(F.col("t"), "zlib", 6, 4), "zlib", 4)).alias("a"), F.md5(binary.decompressed(binary.compressed(F.col("t")))).alias("b"))
 

@@ -9,20 +9,25 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from genloom.runtime import released, small_batches
 from genloom.sources import store
 
 MAGIC = b"\x6c\x1b\x01"
 #: Copies of the first allele by two-bit code; 1 is missing.
 _COPIES = np.array([2, -1, 1, 0], np.int8)
-_CODES = {2: 0, None: 1, 1: 2, 0: 3}
+#: The codes of 0, 1 and 2 copies and of a missing value.
+_CODES = np.array([3, 2, 0, 1], np.uint8)
 
 
 @dataclass
@@ -81,8 +86,14 @@ class BedReader(DataSourceReader):
                 raw = np.frombuffer(f.read(width), np.uint8)
                 if self.variants is None or snp in self.variants:
                     codes = (raw[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).ravel()
-                    d = _COPIES[codes[: len(people)]][pick].tolist()
-                    yield part.start + i, snp, [None if x < 0 else x for x in d]
+                    d = _COPIES[codes[: len(people)]][pick].astype(np.int32)
+                    yield _row(["snp_idx", "snp_id"], [part.start + i, snp], "dosages", pa.array(d, mask=d < 0))
+
+
+def _row(names: list[str], values: list, last: str, array: pa.Array) -> pa.RecordBatch:
+    """A batch of one variant: its plain values and one array of all samples."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array)
+    return pa.RecordBatch.from_arrays([*[pa.array([v]) for v in values], whole], names=[*names, last])
 
 
 @dataclass
@@ -93,26 +104,29 @@ class Written(WriterCommitMessage):
     width: int
 
 
-class PieceWriter(DataSourceWriter):
+class PieceWriter(DataSourceArrowWriter):
     """Each task writes a piece; the commit joins pieces in order of their first variant. Input must be range-sorted by
     snp_idx; path must be on storage that driver and tasks share. A task that is run again writes a piece of its own."""
 
     def __init__(self, options):
         self.path, self.options = options["path"], options
 
-    def pack(self, row) -> bytes:
+    def pack(self, row: pa.RecordBatch) -> bytes:
+        """A variant's bytes; row is one row, whose arrays are never made Python objects a sample."""
         raise NotImplementedError
 
     def finish(self, pieces: list[Written]) -> None:
         raise NotImplementedError
 
-    def write(self, rows):
+    def write(self, batches):
         name, first, n, width = f"{self.path}.parts/{uuid.uuid4().hex}", -1, 0, 0
         with store.writer(name) as f:
-            for r in rows:
-                first = r.snp_idx if first < 0 else first
-                n, width = n + 1, len(r[-1])
-                f.write(self.pack(r))
+            for b in batches:
+                for i in range(b.num_rows):
+                    r = b.slice(i, 1)
+                    first = r.column("snp_idx")[0].as_py() if first < 0 else first
+                    n, width = n + 1, len(r.columns[-1][0])
+                    f.write(self.pack(r))
         return Written(name, first, n, width)
 
     def commit(self, messages):
@@ -125,9 +139,11 @@ class PieceWriter(DataSourceWriter):
 
 class BedWriter(PieceWriter):
     def pack(self, row):
-        codes = [_CODES[x] for x in row.dosages]
-        codes += [0] * (-len(codes) % 4)
-        return bytes(codes[i] | codes[i + 1] << 2 | codes[i + 2] << 4 | codes[i + 3] << 6 for i in range(0, len(codes), 4))
+        copies = row.column("dosages")[0].values.fill_null(3).to_numpy()
+        if copies.size and not 0 <= copies.min() <= copies.max() <= 3:
+            raise ValueError("dosages are 0, 1, 2 or null")
+        codes = np.pad(_CODES[copies], (0, -len(copies) % 4)).reshape(-1, 4)
+        return (codes << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
 
     def finish(self, pieces):
         store.joined(f"{self.path}.bed", MAGIC, [m.path for m in pieces])
@@ -206,7 +222,8 @@ class BgenReader(DataSourceReader):
                 size = _u(f, 4)
                 data = f.read(size) if not packed else f.read(4) and f.read(size - 4)
                 data = zlib.decompress(data) if packed == 1 else zstandard.ZstdDecompressor().decompressobj().decompress(data) if packed == 2 else data
-                yield part.start + i, rsid, chrom, bp, alleles, *probabilities(data, pick)
+                phased, probs = probabilities(data, pick)
+                yield _row(["snp_idx", "snp_id", "chrom", "bp", "alleles", "phased"], [part.start + i, rsid, chrom, bp, alleles, phased], "probs", probs)
 
 
 class BgenWriter(PieceWriter):
@@ -220,19 +237,17 @@ class BgenWriter(PieceWriter):
         def text(s, n=2):
             return len(s.encode()).to_bytes(n, "little") + s.encode()
 
-        head = text("") + text(row.snp_id) + text(row.chrom) + struct.pack("<IH", row.bp, len(row.alleles)) + b"".join(text(a, 4) for a in row.alleles)
-        k, top, stored = len(row.alleles), 2**self.bits - 1, []
-        size = 2 * (k - 1) if row.phased else k * (k + 1) // 2 - 1
-        for p in row.probs:
-            if p is None:
-                stored += [0] * size
-            elif row.phased:
-                stored += [round(x * top) for h in (0, k) for x in p[h : h + k - 1]]
-            else:
-                stored += [round(x * top) for x in p[:-1]]
-        flat = (np.array(stored, np.uint64)[:, None] >> np.arange(self.bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
-        ploidy = bytes(2 | (128 if p is None else 0) for p in row.probs)
-        data = struct.pack("<IHBB", len(row.probs), k, 2, 2) + ploidy + bytes([int(row.phased), self.bits]) + np.packbits(flat.ravel(), bitorder="little").tobytes()
+        snp, chrom, bp, alleles, phased = (row.column(c)[0].as_py() for c in ("snp_id", "chrom", "bp", "alleles", "phased"))
+        head = text("") + text(snp) + text(chrom) + struct.pack("<IH", bp, len(alleles)) + b"".join(text(a, 4) for a in alleles)
+        k, top, probs = len(alleles), 2**self.bits - 1, row.column("probs")[0].values
+        missing = probs.is_null().to_numpy(zero_copy_only=False)
+        p = probs.flatten().to_numpy(zero_copy_only=False).reshape(int((~missing).sum()), 2 * k if phased else k * (k + 1) // 2)
+        p = p.reshape(-1, 2, k)[:, :, :-1].reshape(len(p), -1) if phased else p[:, :-1]
+        stored = np.zeros((len(probs), p.shape[1]), np.uint64)
+        stored[~missing] = np.rint(p * top)
+        flat = stored.astype(f"<u{self.bits // 8}").tobytes() if self.bits in (8, 16, 32) else np.packbits((stored.ravel()[:, None] >> np.arange(self.bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+        ploidy = np.where(missing, 130, 2).astype(np.uint8).tobytes()
+        data = struct.pack("<IHBB", len(probs), k, 2, 2) + ploidy + bytes([int(phased), self.bits]) + flat
         if not self.codec:
             return head + struct.pack("<I", len(data)) + data
         body = zlib.compress(data) if self.codec == "zlib" else zstandard.ZstdCompressor().compress(data)
@@ -248,31 +263,39 @@ class BgenWriter(PieceWriter):
         store.joined(self.path, struct.pack("<I", len(head) + len(block)) + head + block, [m.path for m in pieces])
 
 
-def probabilities(data: bytes, pick: list[int]) -> tuple[bool, list]:
+def probabilities(data: bytes, pick: list[int]) -> tuple[bool, pa.Array]:
     """(phased, probabilities of each picked sample) of a layout 2 block, the implied last probability included."""
     from math import comb
 
     n, k = struct.unpack_from("<IH", data)
     ploidy = np.frombuffer(data, np.uint8, n, 8)
     phased, bits = data[8 + n] == 1, data[9 + n]
-    raw = np.frombuffer(data, np.uint8, offset=10 + n)
-    flat = np.unpackbits(raw, bitorder="little")
-    whole = flat[: len(flat) // bits * bits].reshape(-1, bits).astype(np.float64) @ (2.0 ** np.arange(bits)) / (2**bits - 1)
-    count = [int(p & 63) * (k - 1) if phased else comb(int(p & 63) + k - 1, k - 1) - 1 for p in ploidy]
-    first = np.concatenate(([0], np.cumsum(count)))
-    out = []
-    for i in pick:
-        v = whole[first[i] : first[i + 1]].tolist()
-        if ploidy[i] & 128:
-            out.append(None)
-        elif phased:
-            out.append([x for h in range(int(ploidy[i] & 63)) for x in (*v[h * (k - 1) : (h + 1) * (k - 1)], 1 - sum(v[h * (k - 1) : (h + 1) * (k - 1)]))])
-        else:
-            out.append([*v, 1 - sum(v)])
-    return phased, out
+    if bits in (8, 16, 32):
+        whole = np.frombuffer(data[: 10 + n + (len(data) - 10 - n) // (bits // 8) * (bits // 8)], f"<u{bits // 8}", offset=10 + n)
+    else:
+        flat = np.unpackbits(np.frombuffer(data, np.uint8, offset=10 + n), bitorder="little")
+        whole = flat[: len(flat) // bits * bits].reshape(-1, bits).astype(np.float64) @ (2.0 ** np.arange(bits))
+    of = ploidy & 63
+    per = [int(p) * (k - 1) if phased else comb(int(p) + k - 1, k - 1) - 1 for p in range(int(of.max(initial=0)) + 1)]  # stored values
+    rows = [int(p) if phased else 1 for p in range(len(per))]  # of which each has a sum of 1
+    first = np.concatenate(([0], np.cumsum(np.array(per)[of])))
+    pick = np.asarray(pick, np.int64)
+    some, missing = of[pick], ploidy[pick] & 128 > 0
+    size = np.where(missing, 0, np.array([a + b for a, b in zip(per, rows)])[some])
+    ends = np.concatenate(([0], np.cumsum(size)))
+    out = np.empty(ends[-1])
+    for p in np.unique(some[~missing]).tolist():
+        at = np.flatnonzero(~missing & (some == p))
+        width = per[p] // rows[p] if rows[p] else 0
+        v = whole[first[pick[at], None] + np.arange(per[p])].reshape(len(at), rows[p], width) / (2**bits - 1)
+        full = np.concatenate([v, 1 - v.sum(axis=2, keepdims=True)], axis=2).reshape(len(at), -1)
+        out[ends[at, None] + np.arange(full.shape[1])] = full
+    offsets = pa.array(ends.astype(np.int32))
+    return phased, pa.ListArray.from_arrays(offsets, pa.array(out), mask=pa.array(missing))
 
 
 def register(spark: SparkSession) -> None:
+    small_batches(spark)
     for source in (BedSource, BgenSource):
         spark.dataSource.register(source)
 
@@ -280,18 +303,22 @@ def register(spark: SparkSession) -> None:
 def compressed(block: Column, codec: str = "zstd", level: int = 3, offset: int = 0) -> Column:
     """Raw zlib or zstandard blocks after offset zero bytes; for tables, the Parquet codec does this."""
 
-    def pack(blocks):
+    @released
+    def pack(all_: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = (lambda b: zlib.compress(b, level)) if codec == "zlib" else zstandard.ZstdCompressor(level=level).compress
-        return blocks.map(lambda b: None if b is None else bytes(offset) + one(bytes(b)))
+        for blocks in all_:
+            yield blocks.map(lambda b: None if b is None else bytes(offset) + one(b))
 
-    return F.pandas_udf(pack, "binary")(block)
+    return F.pandas_udf(pack, "binary", F.PandasUDFType.SCALAR_ITER)(block)
 
 
 def decompressed(block: Column, codec: str = "zstd", offset: int = 0) -> Column:
     """What compressed() packed."""
 
-    def unpack(blocks):
+    @released
+    def unpack(all_: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = zlib.decompress if codec == "zlib" else zstandard.ZstdDecompressor().decompress
-        return blocks.map(lambda b: None if b is None else one(bytes(b)[offset:]))
+        for blocks in all_:
+            yield blocks.map(lambda b: None if b is None else one(memoryview(b)[offset:]))
 
-    return F.pandas_udf(unpack, "binary")(block)
+    return F.pandas_udf(unpack, "binary", F.PandasUDFType.SCALAR_ITER)(block)

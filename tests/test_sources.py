@@ -116,3 +116,25 @@ def test_lines_are_numbered_in_order_of_files(spark, tmp_path):
         (tmp_path / f"part-0000{i}.txt").write_text("".join(f"{i}-{j} {'x' * 50 * i}\n" for j in range(n)))
     got = sorted((r.i, r.value.split()[0]) for r in text.numbered(spark.read.text(str(tmp_path))).collect())
     assert [v for _, v in got] == ["0-0", *[f"1-{j}" for j in range(40)], "2-0", "2-1", "2-2"] and [i for i, _ in got] == list(range(44))
+
+
+def test_bgen_blocks_stay_arrow_arrays():
+    """A variant's samples are one array from block to batch: lists of Python floats took some hundred bytes a sample."""
+    import pyarrow as pa
+
+    for phased, bits, probs in ((True, 8, [[1.0, 0.0, 0.0, 1.0], None, [0.0, 1.0, 0.0, 1.0]]), (False, 16, [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], None]), (False, 5, [[0.0, 0.0, 1.0]])):
+        row = pa.RecordBatch.from_pydict({"snp_idx": [0], "snp_id": ["a"], "chrom": ["1"], "bp": [5], "alleles": [["A", "G"]], "phased": [phased], "probs": [probs]})
+        writer = binary.BgenWriter({"path": "-", "codec": "", "bits": str(bits)})
+        block = writer.pack(row)[2 + 2 + 1 + 2 + 1 + 4 + 2 + 5 + 5 + 4 :]
+        got = binary.probabilities(block, list(range(len(probs))))
+        assert isinstance(got[1], pa.Array) and (got[0], got[1].to_pylist()) == (phased, probs)
+        assert binary.probabilities(block, [0])[1].to_pylist() == probs[:1]
+
+
+def test_arrow_batches_are_small(spark, sf):
+    from genloom.plans.catalogue import QUERIES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    QUERIES["block_compression"](spark, sf)
+    assert spark.conf.get(key) == "4m"

@@ -103,6 +103,16 @@ def test_incremental_components_equal_those_of_all_edges(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_components_are_joined_without_a_broadcast(spark, monkeypatch):
+    real, plans = graph.materialize, []
+    see = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(graph, "materialize", lambda df, name: see(df) or real(df, name))
+    known = graph.connected_components(edges(spark, [(n, n + 1) for n in range(20)]))
+    see(graph.incremental_components(known, edges(spark, [(n, n + 5) for n in range(19, 40)])))
+    see(graph.components_of(spark.range(50).withColumnRenamed("id", "vertex"), edges(spark, [(1, 2), (2, 9)])))
+    assert sum("SortMergeJoin" in p for p in plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_blocks_of_a_chain_of_cycles(spark):
     pairs = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4), (10, 11)]
     got = {(r.src, r.dst): (r.block_src, r.block_dst) for r in graph.biconnected(edges(spark, pairs)).collect()}

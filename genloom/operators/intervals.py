@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from genloom.runtime import dealt, pieces
+
 
 def windows_from_starts(starts: DataFrame, keys: list[str], start: str, size: Column) -> DataFrame:
     """Half-open windows numbered from 0 by start; the last ends at size."""
@@ -85,7 +87,12 @@ def gap_islands(df: DataFrame, keys: list[str], start: str, end: str, reach: int
 
     A running maximum of ends is needed, not the last end, because a long span may cover several short ones.
     """
-    by = W.partitionBy(*keys).orderBy(start, end)
+    return _islands(dealt(df, pieces(df), *keys), keys, start, end, reach, touching, [start, end])
+
+
+def _islands(df: DataFrame, keys: list[str], start: str, end: str, reach: int, touching: bool, order: list[str]) -> DataFrame:
+    """gap_islands of rows as they are dealt; order: just start where starts are distinct."""
+    by = W.partitionBy(*keys).orderBy(*order)
     far = F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1))
     apart = F.col(start) > far + reach if touching else F.col(start) >= far + reach
     out = df.withColumn("__new", F.coalesce(apart.cast("int"), F.lit(1)))
@@ -109,12 +116,14 @@ def sweep(spans: dict[str, DataFrame], keys: list[str], start: str, end: str, va
     Every start adds and every end takes away; running sums over the borders of a key give what covers each segment.
     """
     rows = None
-    for name, df in spans.items():
+    for n, df in enumerate(spans.values()):
         v = F.col(value).cast("double") if value else F.lit(0.0)
-        both = df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d"), v.alias("v")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d"), (-v).alias("v")))).alias("e"))
-        side = both.select(*keys, F.col("e.at").alias("at"), *[F.col("e.d").alias(f"d_{n}") if n == name else F.lit(0).alias(f"d_{n}") for n in spans], *[F.col("e.v").alias(f"x_{n}") if n == name else F.lit(0.0).alias(f"x_{n}") for n in spans])
+        side = df.select(*keys, F.lit(n).alias("__n"), F.col(start).alias("__start"), F.col(end).alias("__end"), v.alias("__v"))
         rows = side if rows is None else rows.unionByName(side)
-    at = rows.groupBy(*keys, "at").agg(*[F.sum(f"d_{n}").alias(f"d_{n}") for n in spans], *[F.sum(f"x_{n}").alias(f"x_{n}") for n in spans])
+    ends = F.array(F.struct(F.col("__start").alias("at"), F.lit(1).alias("d"), F.col("__v").alias("v")), F.struct(F.col("__end").alias("at"), F.lit(-1).alias("d"), (-F.col("__v")).alias("v")))
+    both = dealt(rows, pieces(*spans.values()), *keys).select(*keys, "__n", F.explode(ends).alias("e")).select(*keys, "__n", "e.*")
+    own = lambda n, c, none: F.sum(F.when(F.col("__n") == n, F.col(c)).otherwise(F.lit(none)))
+    at = both.groupBy(*keys, "at").agg(*[own(n, "d", 0).alias(f"d_{name}") for n, name in enumerate(spans)], *[own(n, "v", 0.0).alias(f"x_{name}") for n, name in enumerate(spans)])
     by = W.partitionBy(*keys).orderBy("at")
     run = by.rowsBetween(W.unboundedPreceding, W.currentRow)
     out = at.select(*keys, F.col("at").alias("start"), F.lead("at").over(by).alias("end"), *[F.sum(f"d_{n}").over(run).alias(f"n_{n}") for n in spans], *[F.sum(f"x_{n}").over(run).alias(f"v_{n}") for n in spans])
@@ -125,7 +134,7 @@ def set_algebra(a: DataFrame, b: DataFrame, keys: list[str], start: str, end: st
     """Merged half-open spans of a union, intersection, difference or symmetric difference."""
     x, y = F.col("n_a") > 0, F.col("n_b") > 0
     rule = {"union": x | y, "intersection": x & y, "difference": x & ~y, "symmetric": x != y}[op]
-    return gap_islands(sweep({"a": a, "b": b}, keys, start, end).filter(rule), keys, "start", "end").select(*keys, "start", "end")
+    return _islands(sweep({"a": a, "b": b}, keys, start, end).filter(rule), keys, "start", "end", 0, True, ["start"]).select(*keys, "start", "end")
 
 
 def combine(df: DataFrame, keys: list[str], start: str, end: str, style: str) -> DataFrame:

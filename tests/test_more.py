@@ -383,3 +383,49 @@ def test_nearest_makes_no_row_a_pair(spark):
     plan = haplo.nearest(df, ["k"], "id", "w", 3)
     assert "applyInArrow" in str(plan._jdf.queryExecution().analyzed()) or "FlatMapGroupsInArrow" in str(plan._jdf.queryExecution().analyzed())
     assert plan.count() == 18_000
+
+
+# shares of a task
+
+
+@pytest.fixture(scope="module")
+def copies(tmp_path_factory):
+    """lineitem and events of sf0.01 eight times, by shifted keys."""
+    import duckdb
+
+    out, con = tmp_path_factory.mktemp("copies"), duckdb.connect()
+    for name, keys in (("lineitem", {"l_orderkey": 15_000, "l_suppkey": 100}), ("events", {"event_id": 10_000, "user_id": 150})):
+        shifted = ", ".join(f"{k} + i * {by} AS {k}" for k, by in keys.items())
+        con.sql(f"COPY (SELECT t.* REPLACE ({shifted}) FROM '/root/testdata/sf0.01/{name}.parquet' t, range(8) r(i)) TO '{out}/{name}.parquet'")
+    return str(out)
+
+
+@pytest.mark.parametrize("name", ["interval_set_algebra", "interval_map_sum", "gap_islands"])
+def test_spans_are_dealt_by_the_size_of_their_files(spark, copies, monkeypatch, name):
+    import duckdb
+
+    from compare import plain, rows_of
+    from genloom.plans.catalogue import ORACLES, QUERIES
+
+    files = sum(os.path.getsize(f"{copies}/{t}.parquet") for t in ("lineitem" if name == "tidy_segments" else "events",))
+    monkeypatch.setattr(runtime, "PIECE", files // 25, raising=False)
+    got = QUERIES[name](spark, copies)
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 16
+    con = duckdb.connect()
+    for t in ("lineitem", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{copies}/{t}.parquet'")
+    want = con.sql(ORACLES[name])
+    cols = sorted(want.columns)
+    rows = want.project(", ".join(f'"{c}"' for c in cols)).fetchall()
+    assert rows_of(got) == (cols, sorted((tuple(plain(x) for x in z) for z in rows), key=repr))
+
+
+def test_pieces_follow_what_is_read(spark, copies, monkeypatch):
+    events = spark.read.parquet(f"{copies}/events.parquet")
+    size = os.path.getsize(f"{copies}/events.parquet")
+    monkeypatch.setattr(runtime, "PIECE", size // 40)
+    assert 40 <= runtime.pieces(events) <= 41 and 80 <= runtime.pieces(events.filter("value > 1"), events.select("user_id")) <= 82
+    assert runtime.pieces(spark.range(3)) == 0  # small
+    assert runtime.pieces(spark.sparkContext.parallelize([(1,)]).toDF(["a"])) == 0  # of unknown size
+    monkeypatch.setattr(runtime, "PIECE", size)
+    assert runtime.pieces(events) == 0

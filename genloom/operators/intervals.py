@@ -35,9 +35,9 @@ def range_join(points: DataFrame, spans: DataFrame, keys: list[str], position: s
     return p.join(s, on, how).drop("__bin", "__sbin", *[f"__k_{k}" for k in keys])
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: int) -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: int, parts: int = 0) -> DataFrame:
     """Pairs of closed spans that share a position. Both sides go into all their bins; a pair counts only in the bin where
-    the later of its starts lies, so none is made twice and nothing needs to be deduplicated."""
+    the later of its starts lies, so none is made twice and nothing needs to be deduplicated. parts: as of dealt()."""
     (a0, a1), (b0, b1) = a_span, b_span
     x = a.withColumn("__bin", F.explode(_bins(F.col(a0), F.col(a1), width)))
     y = b.withColumn("__bin", F.explode(_bins(F.col(b0), F.col(b1), width)))
@@ -45,6 +45,7 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str,
     on = (F.col("__bin") == F.col("__k___bin")) & (F.col(a0) <= F.col(b1)) & (F.col(b0) <= F.col(a1)) & (F.floor(F.greatest(F.col(a0), F.col(b0)) / width) == F.col("__bin"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__k_{k}"))
+    x, y = dealt(x, parts, "__bin", *keys), dealt(y, parts, "__k___bin", *[f"__k_{k}" for k in keys])
     return x.join(y, on).drop("__bin", "__k___bin", *[f"__k_{k}" for k in keys])
 
 
@@ -209,13 +210,14 @@ def interpolate(points: DataFrame, knots: DataFrame, keys: list[str], position:
 def tidy_overlapping(df: DataFrame, keys: list[str], start: str, end: str, indices: str) -> DataFrame:
     """Segments of a cluster made disjoint: cut at every border, each piece with the sorted union of the indices of what
     covers it, and touching pieces of equal indices joined. Closed segments; (keys, start, end, indices)."""
+    n = pieces(df)
     cut = sweep({"a": df.withColumn("__stop", F.col(end) + 1)}, keys, start, "__stop").filter("n_a > 0").select(*keys, F.col("start").alias("__lo"), (F.col("end") - 1).alias("__hi"))
     by = W.partitionBy(*keys).orderBy("__at")
     # each segment's indices enter at its start and leave after its end; an index is on where its running count is above 0
-    ids = df.select(*keys, F.explode(indices).alias("__i"), F.col(start).alias("__s"), (F.col(end) + 1).alias("__e"))
-    spans = gap_islands(ids, [*keys, "__i"], "__s", "__e").select(*keys, "__i", F.col("start").alias("__s"), (F.col("end") - 1).alias("__e"))
+    ids = dealt(df.select(*keys, F.explode(indices).alias("__i"), F.col(start).alias("__s"), (F.col(end) + 1).alias("__e")), n, *keys)
+    spans = _islands(ids, [*keys, "__i"], "__s", "__e", 0, True, ["__s", "__e"]).select(*keys, "__i", F.col("start").alias("__s"), (F.col("end") - 1).alias("__e"))
     width = 1 << 16
-    hit = overlap_join(cut, spans, keys, ("__lo", "__hi"), ("__s", "__e"), width)
+    hit = dealt(overlap_join(cut, spans, keys, ("__lo", "__hi"), ("__s", "__e"), width, n), n, *keys)
     piece = hit.groupBy(*keys, "__lo", "__hi").agg(F.array_sort(F.collect_set("__i")).alias("indices")).withColumn("__at", F.col("__lo"))
     new = ~((F.lag("__hi").over(by) + 1).eqNullSafe(F.col("__lo")) & F.lag("indices").over(by).eqNullSafe(F.col("indices")))
     run = piece.withColumn("__g", new.cast("int"))

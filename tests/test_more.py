@@ -400,7 +400,7 @@ def copies(tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["interval_set_algebra", "interval_map_sum", "gap_islands"])
+@pytest.mark.parametrize("name", ["interval_set_algebra", "tidy_segments", "interval_map_sum", "gap_islands"])
 def test_spans_are_dealt_by_the_size_of_their_files(spark, copies, monkeypatch, name):
     import duckdb
 
